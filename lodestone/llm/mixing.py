@@ -8,10 +8,13 @@ last one in part, so that the words asked for come out exactly.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,5 +142,45 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float =
     return dealt.join(quotas, ["key", "shard"]).groupBy("key", "shard").applyInPandas(draw, "doc_id long, size long, source_size long, target double, taken long, passes long, spans array<int>, h long")
 
 
+TEXT_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with its columns: whole copies, then the part of one more.
+
+    A part is the text from the first to the last word of each span, spans joined by one space; ``n_chars``, where there, is
+    counted anew for it. Documents that the mix leaves out are gone; so are those without words.
+    """
+    names = docs.columns
+    if {"_key", "_h", "_nth", "_passes", "_spans"} & set(names):
+        raise ValueError("column names of the operator's own")
+    key, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
+    plan = mix(docs, **how).where("taken > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key"), F.col("h").alias("_h"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
+    same = Window.partitionBy("_key", "_h").orderBy("_passes", F.size("_spans"))
+    plan = plan.withColumn("_nth", F.row_number().over(same))
+    rows = docs.withColumn("_key", key).withColumn("_h", h).withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_h").orderBy("source")))
+    both = rows.join(plan, ["_key", "_h", "_nth"]).select(*names, "_passes", "_spans")
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 200):  # a few long texts at a time
+                c = b.slice(a, 200)
+                passes, spans, texts = c["_passes"].to_pylist(), c["_spans"].to_pylist(), c["text"]
+                take = [i for i, n in enumerate(passes) for _ in range(n)]
+                part = {i: _part(texts[i].as_py(), s) for i, s in enumerate(spans) if s}
+                whole = pa.table({n: c[n].take(pa.array(take, pa.int64())) for n in names})
+                few = {n: c[n].take(pa.array(list(part), pa.int64())) for n in names} | {"text": pa.array(list(part.values()), pa.string())}
+                if "n_chars" in few:
+                    few["n_chars"] = pa.array([len(t) for t in part.values()], pa.int64()).cast(few["n_chars"].type)
+                yield from pa.concat_tables([whole, pa.table({n: few[n].cast(whole[n].type) for n in names})]).combine_chunks().to_batches()
+
+    return both.mapInArrow(repeat, docs.schema)
+
+
+def _part(text: str, spans: list[int]) -> str:
+    at = [m.span() for m in TEXT_WORD.finditer(text)]
+    return " ".join(text[at[a][0] : at[e - 1][1]] for a, e in zip(spans[::2], spans[1::2], strict=True))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
