@@ -1,0 +1 @@
+"""Column expressions: text, code and prose tests, identifiers, paths, questions, vectors."""

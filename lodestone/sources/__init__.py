@@ -1,0 +1 @@
+"""Sources: file trees, manifests, git, and tables with explicit schemas."""
