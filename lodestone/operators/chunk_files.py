@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from ..functions.ids import content_id, text_id
 from ..functions.paths import file_name, requirements, suffix
@@ -37,13 +37,13 @@ def route(path: Column) -> Column:
     return out.otherwise("other")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lossy_text(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8 text without the invalid ones, line ends made newlines."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
 
 
-@F.pandas_udf("struct<code:string,config_keys:array<string>>")
+@F.pandas_udf(T.StructType().add("code", T.StringType()).add("config_keys", T.ArrayType(T.StringType())))
 def pretty_json(text: pd.Series) -> pd.DataFrame:
     """Indented JSON and its top-level keys; nulls where the text is no JSON."""
 
@@ -76,7 +76,7 @@ def as_rows(df: DataFrame, repo_info: Column | None = None) -> DataFrame:
 
     def nested(kind: str, **fixed: Column) -> Column:
         parts = []
-        for f in StructType.fromDDL(CHUNKS)[kind].dataType.fields:
+        for f in T.StructType.fromDDL(CHUNKS)[kind].dataType.fields:
             v = fixed.get(f.name)
             v = v if v is not None else F.col(f.name) if f.name in df.columns else F.lit(None)
             parts.append(v.cast(f.dataType).alias(f.name))

@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import bounded
 
@@ -108,7 +109,7 @@ def student_p(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_p(x, d) for x, d in zip(t, df, strict=True)], dtype="float64")
 

@@ -10,6 +10,7 @@ import pandas as pd
 import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import requirements
 from ..functions.text import strip
@@ -18,7 +19,7 @@ from ..functions.text import strip
 DOCKER = ("Dockerfile", "docker-compose.yml", "docker-compose.yaml")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def project_dependencies(text: pd.Series) -> pd.Series:
     """Names under project.dependencies of a TOML text, cut at == and >=; none where it does not parse."""
 
