@@ -62,7 +62,8 @@ def doc_chunks(docs: DataFrame, text: str = "text", name: Column | None = None,
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["in_code"].alias("in_code"), x["head"].alias("head"), F.when(x["in_code"], raw).otherwise(strip(raw)).alias("content"), F.when(x["in_code"], strip(F.regexp_replace(strip(fence), "```", ""))).alias("tag"))
 
     d = d.withColumn("parts", F.filter(F.transform("parts", body), lambda x: x["in_code"] | (x["content"] != "")))
-    d = d.select(*keep, F.posexplode("parts").alias("chunk_index", "p"))
+    # Outer, as the size test that Spark infers for a plain explode would work out every part again below the scan.
+    d = d.select(*keep, F.posexplode_outer("parts").alias("chunk_index", "p")).where("chunk_index is not null")
     content = F.col("p.content")
     coded = F.when(F.col("p.in_code"), is_actual_code(content)).otherwise(looks_like_code_block(F.array_join(splitlines(content), "\n")) & ~mentions_prose(content))
     d = d.withColumn("coded", coded)

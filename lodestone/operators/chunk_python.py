@@ -178,5 +178,5 @@ def line_spans(files: DataFrame, text: str = "text", key: str = "path") -> DataF
     """(key, line, start_byte, end_byte): byte place of each line, spans starting at column 0, by prefix sums within the row."""
     lines = F.split(F.col(text), "\n", -1)
     sizes = F.transform(lines, lambda x: F.octet_length(x).cast("bigint") + 1)
-    ends = F.aggregate(sizes, F.array().cast("array<bigint>"), lambda acc, n: F.array_append(acc, F.coalesce(F.element_at(acc, -1), F.lit(0).cast("bigint")) + n))
+    ends = F.aggregate(sizes, F.array().cast("array<bigint>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + n))
     return files.select(key, F.posexplode(F.arrays_zip(sizes.alias("n"), ends.alias("e"))).alias("line", "x")).select(key, (F.col("line") + 1).cast("bigint").alias("line"), (F.col("x.e") - F.col("x.n")).alias("start_byte"), F.col("x.e").alias("end_byte"))
