@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import lengths
 
 BLOCK = 256
@@ -29,7 +30,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     limit; ``quantile`` the share of documents no longer than it. An empty table gives no rows;
     null text counts as 0 tokens; other columns are ignored.
     """
-    h = length_histogram(docs, vocabulary).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # Read twice below; a row for each length that occurs, written so that texts are encoded once.
+    h = written(length_histogram(docs, vocabulary), "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     longer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy()
