@@ -52,7 +52,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, with_text: bool
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     spec = Spec(k, length)
     source = docs if with_text else docs.select("doc_id", "text")
-    packs, told, buckets = first_rounds(source, spec)
+    missing = "_null"
+    while missing in docs.columns:
+        missing += "_"
+    packs, told, buckets = first_rounds(source.withColumn(missing, F.col("text").isNull()), spec)
 
     def ask(row: dict, got: dict) -> pa.Table:
         r = Replay(row, got, spec, buckets, 3)
@@ -65,10 +68,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, with_text: bool
         kept, removed, spans = cut(r.batch, r.covered(r.at[w.low[w.inverse] < r.at_doc]))
         rest = rest_of(row)
         if with_text:
-            text = [k.decode("utf-8", "ignore") for k in kept]
+            text = [None if none else k.decode("utf-8", "ignore") for k, none in zip(kept, rest[missing].to_pylist(), strict=True)]
             columns = {n: rest[n] for n in rest.column_names} | {"text": pa.array(text, pa.string())}
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t) for t in text], pa.int64())
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in text], pa.int64())
             return pa.table({n: columns[n] for n in names})
         return pa.table({"doc_id": rest["doc_id"], "n_bytes": pa.array(r.batch.lens), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
