@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .windows import REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranked, with_answers
+from .windows import ANSWER, REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranked, with_answers
 
-COPIES, BANDS = 1, 2
+COPIES, BANDS, KEYS = 1, 2, 3
 #: Poisson(area) distribution functions are cut where less than 2 to the -53 is left.
 _MOST = 24
 
@@ -134,6 +134,14 @@ class Signed:
         own = self.some[self.low[self.some] == b.ids[self.some]]
         _, one = np.unique(b.ids[own], return_index=True)
         self.own = own[one]
+        self.of = np.repeat(self.own, bands)
+        if KEYS in told:
+            self.keys = np.frombuffer(told[KEYS][0], np.uint64)
+        else:
+            self.keys = self.signatures(shingle, bands, rows).reshape(-1)
+        self.ranks = Ranks(self.keys, b.ids[self.of])
+
+    def signatures(self, shingle: int, bands: int, rows: int) -> np.ndarray:
         keys = np.zeros((len(self.own), bands), np.uint64)
         for i, d in enumerate(self.own):
             names, counts = np.unique(shingles(self.words(d), shingle), return_counts=True)
@@ -142,8 +150,7 @@ class Signed:
             for c in range(rows):
                 h = mix(h * U(0x9E3779B97F4A7C15) + sig[:, c])
             keys[i] = h
-        self.of = np.repeat(self.own, bands)
-        self.ranks = Ranks(keys.reshape(-1), b.ids[self.of])
+        return keys
 
     def words(self, d: int) -> np.ndarray:
         return self.batch.symbols[self.batch.bounds[d] : self.batch.bounds[d + 1]]
@@ -165,8 +172,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
     def signed(number: int):
         return lambda row, told: Signed(row, told, buckets, shingle, bands, rows, number)
 
-    def ask(number: int):
-        return lambda row, told: asked(signed(number)(row, told).ranks.requests(buckets), row["batch"])
+    def first(row: dict, told: dict) -> pa.Table:
+        return asked(signed(1)(row, told).ranks.requests(buckets), row["batch"])
+
+    def sign(row: dict, told: dict) -> pa.Table:
+        """Band names to ask for, and all of the pack's, so that the last round need not throw its darts again."""
+        s, batch = signed(2)(row, told), row["batch"]
+        rows = [(batch, BANDS, b, blob) for b, blob in s.ranks.requests(buckets)] + [(batch, KEYS, 0, s.keys.tobytes())]
+        kinds = {"batch": pa.int64(), "round": pa.int32(), "bucket": pa.int32(), "blob": pa.binary()}
+        return pa.table({n: pa.array(v, t) for (n, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
 
     def found(row: dict, told: dict) -> pa.Table:
         """Documents with the first of their text, with the candidates of that, and with its features if it has candidates or is one."""
@@ -183,9 +197,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
             out.append((doc, int(s.low[d]), to, expanded(shingles(s.words(d), shingle)).tobytes() if d in used else None))
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "first": pa.array([o[1] for o in out], pa.int64()), "candidates": pa.array([o[2] for o in out], pa.list_(pa.int64())), "features": pa.array([o[3] for o in out], pa.binary())})
 
-    one = written(ranked(with_answers(packs, None, ask(1), REQUEST), COPIES), "ranks")
-    two = ranked(with_answers(packs, one, ask(2), REQUEST), BANDS)
-    rows_of = written(with_answers(packs, one.union(two), found, "doc_id long, first long, candidates array<long>, features binary"), "found")
+    one = written(ranked(with_answers(packs, None, first, REQUEST), COPIES), "ranks")
+    signs = written(with_answers(packs, one, sign, ANSWER), "signatures")
+    two = ranked(signs.where(F.col("round") == BANDS).select("bucket", "batch", "blob"), BANDS)
+    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "doc_id long, first long, candidates array<long>, features binary"), "found")
     features = rows_of.where("features is not null").select("doc_id", "features")
     pairs = rows_of.select(F.col("doc_id").alias("b"), F.explode("candidates").alias("a")).distinct()
     held = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
