@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .windows import ANSWER, REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranked, with_answers
+from .windows import ANSWER, REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, with_answers
 
 COPIES, BANDS, KEYS = 1, 2, 3
 #: Poisson(area) distribution functions are cut where less than 2 to the -53 is left.
@@ -51,41 +51,74 @@ def cells(top: float) -> list[tuple[float, float]]:
     return out
 
 
+#: Sets and elements that darts are thrown at together: what is held stays within some 10 MB.
+_SETS, _ELEMENTS = 256, 1 << 16
+
+
 def dart_minhash(names: np.ndarray, weights: np.ndarray, k: int = 128, more: float = 2.0) -> np.ndarray:
     """k coordinates of the weighted set of ``names`` (uint64): the names of its lowest darts; all 0 for an empty set."""
-    out = np.zeros(k, np.uint64)
+    return dart_minhashes(names, weights, np.array([len(names)]), k, more)[0]
+
+
+def dart_minhashes(names: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int = 128, more: float = 2.0) -> np.ndarray:
+    """The same of many sets, ``sizes`` elements each, one row a set. Sets of like weight share their rank cells."""
+    out = np.zeros((len(sizes), k), np.uint64)
+    ends = np.cumsum(sizes)
+    total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights, len(sizes))
+    top = np.full(len(sizes), k * (math.log(k) + more))
+    np.divide(top, total, out=top, where=total > 0)
+    todo = np.flatnonzero(total > 0)
+    todo = todo[np.argsort(-top[todo], kind="stable")]
+    while len(todo):
+        left = []
+        cut = np.r_[0, np.cumsum(sizes[todo])]
+        a = 0
+        while a < len(todo):
+            b = max(a + 1, min(a + _SETS, int(np.searchsorted(cut, cut[a] + _ELEMENTS, "right")) - 1))
+            some = todo[a:b]
+            at = ranges(ends[some] - sizes[some], ends[some] - 1)
+            found, whole = _thrown(names[at], weights[at], sizes[some], top[some], k)
+            out[some[whole]] = found[whole]
+            left.append(some[~whole])
+            a = b
+        todo = np.concatenate(left)  # some coordinate has no dart yet
+        top[todo] *= 2
+    return out
+
+
+def _thrown(names: np.ndarray, weights: np.ndarray, sizes: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of sets in descending order of ``top``, from darts of lower rank than that, and whether all have one."""
     whole = np.ceil(weights).astype(np.int64)
-    total = float(weights.sum())
-    if total <= 0:
-        return out
     at = np.repeat(np.arange(len(names)), whole)
     step = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(whole)[:-1]], whole)  # weight cell of each
     base = mix(names[at] + step.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    of = np.repeat(np.arange(len(sizes)), sizes)[at]
     inside = weights[at] - step
     integral = bool((whole == weights).all())
-    top = k * (math.log(k) + more) / total
-    while True:
-        ranks, darts = [], []
-        for i, (low, high) in enumerate(cells(top)):
-            h = mix(base ^ U((i + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            n = np.searchsorted(_cdf(high - low), unit(h), "right")
-            for j in range(int(n.max(initial=0))):
-                hit = n > j
-                d = mix(h[hit] + U(j + 1))
-                if not integral:
-                    fits = unit(mix(d ^ U(0xA5A5A5A5))) < inside[hit]
-                    d = d[fits]
-                ranks.append(low + (high - low) * unit(mix(d ^ U(0x5BD1E995))))
-                darts.append(d)
-        rank, dart = np.concatenate(ranks), np.concatenate(darts)
-        to = (dart % U(k)).astype(np.int64)
-        order = np.lexsort((dart, rank))
-        order = order[rank[order] < top]
-        first = np.full(k, -1, np.int64)
-        first[to[order[::-1]]] = order[::-1]
-        if (first >= 0).all():
-            return mix(dart[first])
-        top *= 2  # some coordinate has no dart yet
+    falling = -top[of]
+    lowest, dart_of = np.full(len(sizes) * k, np.inf), np.full(len(sizes) * k, ~U(0))
+    ranks, darts, places = [], [], []
+    for i, (low, high) in enumerate(cells(float(top[0]))):
+        cdf = _cdf(high - low)
+        h = mix(base[: np.searchsorted(falling, -low)] ^ U((i + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        some = np.flatnonzero(h >= U(math.ceil(cdf[0] * 2.0**53) << 11))  # most have no dart in a narrow cell
+        n = np.searchsorted(cdf, unit(h[some]), "right")
+        for j in range(int(n.max(initial=0))):
+            hit = some[n > j]
+            d = mix(h[hit] + U(j + 1))
+            if not integral:
+                fits = unit(mix(d ^ U(0xA5A5A5A5))) < inside[hit]
+                hit, d = hit[fits], d[fits]
+            rank = low + (high - low) * unit(mix(d ^ U(0x5BD1E995)))
+            under = rank < top[of[hit]]
+            ranks.append(rank[under])
+            darts.append(d[under])
+            places.append(of[hit[under]] * k + (d[under] % U(k)).astype(np.int64))
+    rank, dart, place = np.concatenate(ranks), np.concatenate(darts), np.concatenate(places)
+    np.minimum.at(lowest, place, rank)
+    best = rank == lowest[place]
+    np.minimum.at(dart_of, place[best], dart[best])
+    return mix(dart_of).reshape(-1, k), np.isfinite(lowest).reshape(-1, k).all(axis=1)
 
 
 _cdfs: dict[float, np.ndarray] = {}
@@ -142,14 +175,14 @@ class Signed:
         self.ranks = Ranks(self.keys, b.ids[self.of])
 
     def signatures(self, shingle: int, bands: int, rows: int) -> np.ndarray:
-        keys = np.zeros((len(self.own), bands), np.uint64)
-        for i, d in enumerate(self.own):
-            names, counts = np.unique(shingles(self.words(d), shingle), return_counts=True)
-            sig = dart_minhash(names, counts, bands * rows).reshape(bands, rows)
-            h = np.arange(1, bands + 1, dtype=np.uint64)
-            for c in range(rows):
-                h = mix(h * U(0x9E3779B97F4A7C15) + sig[:, c])
-            keys[i] = h
+        sets = [np.unique(shingles(self.words(d), shingle), return_counts=True) for d in self.own]
+        if not sets:
+            return np.zeros((0, bands), np.uint64)
+        names, counts = (np.concatenate(v) for v in zip(*sets, strict=True))
+        sig = dart_minhashes(names, counts, np.array([len(n) for n, _ in sets]), bands * rows).reshape(-1, bands, rows)
+        keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), 1))
+        for c in range(rows):
+            keys = mix(keys * U(0x9E3779B97F4A7C15) + sig[:, :, c])
         return keys
 
     def words(self, d: int) -> np.ndarray:
