@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counting stops there."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df

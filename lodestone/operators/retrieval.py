@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cut, dot
-from .joins import bounded
+from .joins import bounded, few
 
 K1, B = 1.2, 0.75
 
@@ -29,12 +29,13 @@ def bm25(corpus: DataFrame, topics: DataFrame, k: int = 100, k1: float = K1, b:
     partial aggregate, lengths are taken before. Repeated query terms count each time.
     """
     asked = topics.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = bounded(asked.select("term").distinct())
+    terms = asked.select("term").distinct()
+    small = F.broadcast if few(terms) else lambda side: side  # also bounds df, which has no more rows
     docs = corpus.select("docno", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("docno", "dl", F.explode("t").alias("term")).join(terms, "term").groupBy("docno", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("docno", "dl", F.explode("t").alias("term")).join(small(terms), "term").groupBy("docno", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = bounded(df).join(F.broadcast(size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # size is one row
+    idf = small(df).join(F.broadcast(size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # size is one row
     weighed = tf.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     scored = weighed.join(bounded(asked), "term").groupBy("qid", "docno").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
     return top_k(scored, k)
