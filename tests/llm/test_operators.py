@@ -14,13 +14,14 @@ import pytest
 from lodestone.llm import queries
 from lodestone.llm.language_id import identify
 from lodestone.llm.mixing import mix, mixed_texts
-from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.near_dedup import dart_minhash, dart_minhashes, near_duplicates
 from lodestone.llm.nearest import nearest
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.tokens import encoder
 from lodestone.llm.vector_dedup import near_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -279,3 +280,20 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out
     assert out.count() > 0
+
+
+def test_darts_of_many_sets_are_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 0, 7, 300, 2, 90])
+    names, ends = rng.integers(0, 1 << 62, sizes.sum()).astype(np.uint64), np.cumsum(sizes)
+    for weights in (rng.integers(1, 5, sizes.sum()), rng.random(sizes.sum()) * 3 + 0.01):
+        each = [dart_minhash(names[e - n : e], weights[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+        assert (dart_minhashes(names, weights, sizes) == np.array(each)).all()
+        assert not each[1].any()
+
+
+def test_words_encoded_together_are_those_of_the_library():
+    texts = ["", "It's 12 o'clock -- don't!", "na\u00efve caf\u00e9 \u00c9T\u00c9", "\u3042 x", "a\u0301b", "</w> </ w>", "tab\tline\n\u00a0end", "<|endoftext|>", "qzxv" * 50]
+    e = encoder()
+    for t in texts + texts[::-1]:
+        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
