@@ -7,6 +7,8 @@ probability of their weighted Jaccard similarity. Darts are thrown rank cell by
 as far up as about k ln k darts need, whatever the number of shingles. Bands of the signature
 are ranked across the corpus as in ``windows``: each document is held against the
 earliest document of each of its bands, by exact similarity, and verified pairs are united.
+Documents of a band that this leaves in several components are then held against each other, in
+tiles of bounded size, so that every pair that shares a band is united or was checked.
 Equal texts are united first and enter once.
 """
 
@@ -25,6 +27,8 @@ from .common import components, written
 from .windows import ANSWER, REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, with_answers
 
 COPIES, BANDS, KEYS = 1, 2, 3
+#: Documents on one side of a tile of a band.
+TILE = 256
 #: Poisson(area) distribution functions are cut where less than 2 to the -53 is left.
 _MOST = 24
 
@@ -189,6 +193,47 @@ class Signed:
         return self.batch.symbols[self.batch.bounds[d] : self.batch.bounds[d + 1]]
 
 
+def crossing(t: pa.Table, threshold: float) -> pa.Table:
+    """Similar pairs of different components in one tile of each band of ``t``; a pair is checked in the first band it shares."""
+    t = t.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    key, ids, component, own = (t[c].to_numpy() for c in ("key", "doc_id", "component", "own"))
+    features = [np.frombuffer(f, np.uint32) for f in t["features"].to_pylist()]
+    size, keys = np.array([len(f) for f in features]), [frozenset(k) for k in t["keys"].to_pylist()]
+    i, j = int(t["i"][0].as_py()), int(t["j"][0].as_py())
+    found: list[tuple[int, int]] = []
+    cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        right = s + np.flatnonzero(own[s:e] == j)
+        for a in s + np.flatnonzero(own[s:e] == i):
+            to = right[right > a] if i == j else right
+            to = to[component[to] != component[a]]
+            to = to[np.minimum(size[to], size[a]) >= threshold * np.maximum(size[to], size[a])]
+            found += [(ids[a], ids[b]) for b in to if min(keys[a] & keys[b]) == key[s] and similarity(features[a], features[b]) >= threshold]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between documents that share a band of which neither is the first, and that ``labels`` has in different components.
+
+    The largest component of a band is not held against itself: its tiles meet only those of the others.
+    """
+    near = rows_of.where("size(keys) > 0").select("doc_id", "keys", "features")
+    named = near.select("doc_id", F.explode("keys").alias("key")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    members = written(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    own = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("most") / TILE))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others"))).cast("int")
+    slots = members.join(mixed, "key").withColumn("others", F.ceil((F.col("n") - F.col("most")) / TILE)).withColumn("own", own)
+    slots = written(slots.select("key", "doc_id", "component", "n", "own", F.col("others").cast("int").alias("others"), F.ceil(F.col("most") / TILE).cast("int").alias("mains")), "slots")
+    buckets = max(64, slots.count() // TILE)
+    # A band of several tiles is a group of its own for each pair of tiles; small ones share buckets
+    group = F.when(F.col("n") > TILE, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    placed = slots.join(near, "doc_id").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("grp", "key", "doc_id", "component", "keys", "features", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return placed.groupBy("grp", "i", "j").applyInArrow(lambda t: crossing(t, threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links reach), kept (they are equal), one row per row of ``docs`` (doc_id, text, ...).
 
@@ -196,6 +241,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
     of ``threshold`` or more; texts under ``shingle`` words are one shingle of all their words. Null,
     empty and wordless texts link with nothing. Rows of one doc_id share a component; null doc_ids have a null
     component, are not kept and link with nothing. Other columns are ignored; an empty table gives no rows.
+    A pair that shares no band is not checked: at similarity s that has probability (1 - s**rows)**bands.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     able = docs.where("doc_id is not null")
@@ -223,17 +269,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         bands_of = len(low) // max(1, len(s.own))
         cand = {int(d): np.unique(low[i * bands_of : (i + 1) * bands_of]) for i, d in enumerate(s.own)}
         used = {int(d) for d in s.of[many]}
+        later = many & (low != s.batch.ids[s.of])
+        keys = {int(d): s.keys[i * bands_of : (i + 1) * bands_of][later[i * bands_of : (i + 1) * bands_of]].view(np.int64).tolist() for i, d in enumerate(s.own)}
         out = []
         for d in range(len(s.batch.ids)):
             doc = int(s.batch.ids[d])
             to = [int(c) for c in cand.get(d, ()) if c != doc]
-            out.append((doc, int(s.low[d]), to, expanded(shingles(s.words(d), shingle)).tobytes() if d in used else None))
-        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "first": pa.array([o[1] for o in out], pa.int64()), "candidates": pa.array([o[2] for o in out], pa.list_(pa.int64())), "features": pa.array([o[3] for o in out], pa.binary())})
+            out.append((doc, int(s.low[d]), to, expanded(shingles(s.words(d), shingle)).tobytes() if d in used else None, keys.get(d, [])))
+        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "first": pa.array([o[1] for o in out], pa.int64()), "candidates": pa.array([o[2] for o in out], pa.list_(pa.int64())), "features": pa.array([o[3] for o in out], pa.binary()), "keys": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
 
     one = written(ranked(with_answers(packs, None, first, REQUEST), COPIES), "ranks")
     signs = written(with_answers(packs, one, sign, ANSWER), "signatures")
     two = ranked(signs.where(F.col("round") == BANDS).select("bucket", "batch", "blob"), BANDS)
-    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "doc_id long, first long, candidates array<long>, features binary"), "found")
+    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "doc_id long, first long, candidates array<long>, features binary, keys array<long>"), "found")
     features = rows_of.where("features is not null").select("doc_id", "features")
     pairs = rows_of.select(F.col("doc_id").alias("b"), F.explode("candidates").alias("a")).distinct()
     held = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
@@ -245,6 +293,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
 
     copies = rows_of.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     labels = components(held.mapInArrow(verified, "a long, b long").union(copies), "near")
+    more = written(crossed(rows_of, labels, threshold), "crossed")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more), "near")
     named = docs.select("doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
