@@ -1,9 +1,9 @@
 """Operator 10: near-duplicate vectors by cosine.
 
-Method: sorted projection passes. In each pass a vector's key is the concatenation of the sign
-bits of random projections; rows are ordered by key, each is compared with a bounded window of
-neighbours, and verified pairs are united across passes. The number of passes follows the
-number of rows, so that a pair at the threshold is a neighbour in some pass with the asked
+Method: projection passes. In each pass a vector's key is the concatenation of the sign
+bits of random projections; rows of one key are all compared with each other, in tiles of bounded
+size where they are many, and verified pairs are united across passes. Bits follow the number of
+rows, and passes the bits, so that a pair at the threshold shares a key in some pass with the asked
 probability. Links exist only within components: their counts come from all pairs of each
 component, in tiles of bounded size. Equal vectors enter once, with their number.
 """
@@ -18,23 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, written
+from .common import components, written
 from .vectors import matrix, usable
 
-BITS = 62
 TILE = 1024
 
 
-def passes_for(rows: int, cosine: float, window: int, found: float) -> int:
-    """Passes after which a pair of that cosine has stood within the window with probability ``found``."""
+def bits_for(rows: int, window: int) -> int:
+    """Bits of a key: were keys dealt evenly, half of ``window`` rows or a little fewer would share one."""
+    return max(1, math.ceil(math.log2(max(2, rows) / window)) + 1)
+
+
+def passes_for(bits: int, cosine: float, found: float) -> int:
+    """Passes after which a pair of that cosine has shared a key with probability ``found``."""
     same = 1 - math.acos(cosine) / math.pi
-    agree = same ** max(1.0, math.log2(max(2, rows) / window) + 1)
-    return max(4, math.ceil(math.log(1 - found) / math.log(1 - agree)))
+    return max(4, math.ceil(math.log(1 - found) / math.log(1 - same**bits)))
 
 
-def keys(v: np.ndarray, number: int, seed: int) -> np.ndarray:
-    planes = np.random.default_rng([seed, number, v.shape[1]]).standard_normal((v.shape[1], BITS))
-    return (v @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def keys(v: np.ndarray, number: int, seed: int, bits: int) -> np.ndarray:
+    planes = np.random.default_rng([seed, number, v.shape[1]]).standard_normal((v.shape[1], bits))
+    return (v @ planes > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -57,14 +60,23 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return ids[label[more]], ids[more]
 
 
-def neighbours(ids: np.ndarray, v: np.ndarray, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among rows at most ``window`` apart."""
-    a, b = [], []
-    for o in range(1, min(window, len(ids) - 1) + 1):
-        hit = np.flatnonzero(np.einsum("ij,ij->i", v[:-o], v[o:]) >= cosine)
-        a.append(hit)
-        b.append(hit + o)
-    return forest(ids, np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+def neighbours(t: pa.Table, cosine: float) -> pa.Table:
+    """Linked pairs of each key of ``t``, in one pair of tiles; as many as join the same rows."""
+    t = t.sort_by([("key", "ascending"), ("id", "ascending")])
+    ids, own, i, j = t["id"].to_numpy(), t["own"].to_numpy(), int(t["i"][0].as_py()), int(t["j"][0].as_py())
+    v, found = unit_rows(matrix(t["v"])), []
+    for s, e in runs(t["key"].to_numpy()):
+        left, right = (np.flatnonzero(own[s:e] == x) for x in (i, j))
+        a, b = [], []
+        for c in range(0, len(left), 256):
+            x, y = np.nonzero(v[s + left[c : c + 256]] @ v[s + right].T >= cosine)
+            x, y = forest(np.arange(e - s), left[c + x], right[y])
+            a.append(x)
+            b.append(y)
+        if a:
+            found.append(forest(ids[s:e], np.concatenate(a), np.concatenate(b)))
+    a, b = (np.concatenate([f[n] for f in found] or [ids[:0]]) for n in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 PAIRS = "a long, b long"
@@ -76,13 +88,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, window: int = 64, fou
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do
     vectors of different length. Repeated rows and equal vectors link with each other; rows of one id share a
     component. Null ids keep null component and are not kept, with 0 links. Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. ``window`` sets the bits of a key, not a bound on what is compared.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     able = rows.where(usable("v") & F.col("vec_id").isNotNull())
     firsts = written(able.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    n = firsts.count()
-    passes = passes_for(n, cosine, window, found)
+    n, widest = firsts.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    bits = bits_for(n, window)
+    passes = passes_for(bits, cosine, found)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,26 +104,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, window: int = 64, fou
                 part = b.filter(pa.array(size == d))
                 v = matrix(part["v"])
                 for p in range(passes):
-                    yield pa.record_batch([pa.array([p] * len(v), pa.int32()), pa.array([int(d)] * len(v), pa.int32()), pa.array(keys(v, p, seed)), part["id"], part["v"]], ["pass", "dim", "key", "id", "v"])
+                    yield pa.record_batch([pa.array([p] * len(v), pa.int32()), pa.array([int(d)] * len(v), pa.int32()), pa.array(keys(v, p, seed, bits)), part["id"], part["v"]], ["pass", "dim", "key", "id", "v"])
 
     sorts = firsts.select("id", "v").mapInArrow(keyed, "pass int, dim int, key long, id long, v array<double>")
-    per = max(1, min(partitions(vectors.sparkSession), n * passes // 4096))
-    ordered = sorts.repartitionByRange(per, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Linked pairs within windows; a window that two partitions cut is left to the other passes."""
-        at, ids, v = None, np.zeros(0, np.int64), np.zeros((0, 0))
-        for b in batches:
-            which = b["pass"].to_numpy().astype(np.int64) << 32 | b["dim"].to_numpy()
-            for s, e in runs(which):
-                new = b["id"].to_numpy()[s:e], unit_rows(matrix(b["v"].slice(s, e - s)))
-                if at == int(which[s]):
-                    new = np.r_[ids[-window:], new[0]], np.vstack([v[-window:], new[1]])
-                at, (ids, v) = int(which[s]), new
-                x, y = neighbours(ids, v, window, cosine)
-                yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
-
-    same = components(ordered.mapInArrow(compare, PAIRS), "vectors")
+    side = max(256, min(4 * TILE, (1 << 19) // widest))
+    groups = max(1, n // side)
+    # Keys of many rows are few, at most one for each ``side`` rows of a pass; each is a group of its own for each pair of tiles
+    many = sorts.groupBy("pass", "dim", "key").agg(F.count("*").alias("n")).where(F.col("n") > side)
+    dealt = sorts.join(written(many, "keys"), ["pass", "dim", "key"], "left").withColumn("sides", F.coalesce(F.ceil(F.col("n") / side), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("grp", F.when(F.col("sides") > 1, F.col("key")).otherwise(-1 - F.pmod(F.xxhash64("key"), F.lit(groups))))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
+    dealt = dealt.select("pass", "dim", "grp", "key", "id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    same = components(dealt.groupBy("pass", "dim", "grp", "i", "j").applyInArrow(lambda t: neighbours(t, cosine), PAIRS), "vectors")
     labels = written(same, "labels")
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
     tiles = F.ceil(F.col("n") / TILE).cast("int")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.llm import near_dedup
 from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.vector_dedup import near_vectors
 
 from .test_operators import shingles
 
@@ -37,3 +39,22 @@ def test_near_duplicates_behind_a_common_template(spark, monkeypatch, tile):
     assert len(links) == 30
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == dict(enumerate(roots(links, len(made))))
+
+
+def test_vector_dedup_of_a_dense_region(spark):
+    """Linked pairs among many rows that are close to each other and do not link."""
+    r = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, cone = 6000, 3000
+    v = unit(r.normal(size=(n, 64)))
+    v[:cone] = unit(np.sqrt(0.88) * v[-1] + np.sqrt(0.12) * v[:cone])
+    v[:200] = unit(v[200:400] + 0.3 * unit(r.normal(size=(200, 64))))
+    order = r.permutation(n)
+    v = v[order]
+    link = v @ v.T >= 0.95
+    a, b = np.nonzero(np.triu(link, 1))
+    assert len(a) >= 200
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = {x.vec_id: x for x in near_vectors(df).collect()}
+    assert [rows[i].component_id for i in range(n)] == roots(zip(a.tolist(), b.tolist()), n)
+    assert [rows[i].n_links for i in range(n)] == (link.sum(1) - 1).tolist()
