@@ -26,12 +26,16 @@ from .windows import ANSWER, REQUEST, Replay, Spec, asked, first_rounds, rank, r
 WINDOWS, PASSAGES = 3, 4
 
 
+#: Later than every document, those without an id included.
+NEVER = 1 << 63
+
+
 class SuffixAutomaton:
     """Of several strings; ``low``: the smallest document in which a state's strings occur."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
-        self.link, self.len, self.low = [-1], [0], [1 << 62]
+        self.link, self.len, self.low = [-1], [0], [NEVER]
 
     def _state(self, length: int, step: dict, link: int, low: int) -> int:
         self.next.append(step)
@@ -64,7 +68,7 @@ class SuffixAutomaton:
 
     def _split(self, p: int, c: int, q: int) -> int:
         nxt, link = self.next, self.link
-        copy = self._state(self.len[p] + 1, dict(nxt[q]), link[q], 1 << 62)
+        copy = self._state(self.len[p] + 1, dict(nxt[q]), link[q], NEVER)
         link[q] = copy
         while p >= 0 and nxt[p].get(c) == q:
             nxt[p][c] = copy

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .windows import REQUEST, Batch, Replay, Spec, asked, first_rounds, ranked, rest_of, with_answers
 
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -52,9 +53,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, with_text: bool
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     spec = Spec(k, length)
     source = docs if with_text else docs.select("doc_id", "text")
-    missing = "_null"
-    while missing in docs.columns:
-        missing += "_"
+    missing = fresh("_null", docs.columns)
     packs, told, buckets = first_rounds(source.withColumn(missing, F.col("text").isNull()), spec)
 
     def ask(row: dict, got: dict) -> pa.Table:

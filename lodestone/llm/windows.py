@@ -13,7 +13,11 @@ keeping only what is not yet unique:
 A round is one exchange: every batch of documents sends each name once, with its smallest
 document and its count (so a name that a third of all rows share costs one entry a batch),
 dealt by name range; the answers go back only where the corpus knows more than the batch.
-Names are 64 bits wide.
+
+Rounds 2 and 3 decide what is removed, so their names are 96 bits wide: two hashes of different
+bases, the second cut to 32 bits. Among the 10^13 names of 100 TB an accidental equality of two
+has a chance of about 1 in 1,000. Round 1 only sorts out what is unique, so that names of 48 bits do: an
+accidental equality there costs work, never a result.
 """
 
 from __future__ import annotations
@@ -33,10 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import partitions, scratch, written
 
-BASE = 0x9E3779B97F4A7C15
+BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SLICE = 1 << 18
-BATCH_BYTES = 2 << 20
+#: Text of a pack, which asks as one, and of a bucket of names, which is ranked as one. A round has at most a row for
+#: each pack and bucket (and at most one for each name), so both may be raised with the memory of executors.
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Later than every other document. A document of that very id is no earlier than those without one.
 NO_ID = (1 << 63) - 1
+PICK_BITS = 48
 U = np.uint64
 PACKED = "batch long, n_bytes long, ids binary, lens binary, blob binary, rest binary"
 REQUEST = "bucket int, batch long, blob binary"
@@ -59,16 +67,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 BYTE_NAME = mix(np.arange(1, 257, dtype=np.uint64) * U(BASE))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n."""
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` and its inverse to the powers 0 to n."""
     size = 1 << max(12, n.bit_length())
-    if size not in _powers:
+    if (size, base) not in _powers:
         with np.errstate(over="ignore"):
-            _powers[size] = tuple(np.cumprod(np.r_[U(1), np.full(size, U(b))], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
-    return _powers[size]
+            _powers[size, base] = tuple(np.cumprod(np.r_[U(1), np.full(size, U(b))], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    return _powers[size, base]
 
 
 def doubled(x: np.ndarray, k: int) -> np.ndarray:
@@ -97,11 +105,20 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: length - w], a[w - length :]) if length < w else a
 
 
-def prefix_names(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pw, ipw = powers(len(x))
+def prefix_names(x: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    pw, ipw = powers(len(x), base)
     return np.r_[U(0), np.cumsum(x * pw[: len(x)], dtype=np.uint64)], ipw
 
 
+def range_names(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names and 32-bit checks of the runs of ``x`` from ``first`` up to ``end``."""
+    both = []
+    for symbols, base in ((x, BASE), (x ^ (x >> U(32)), CHECK_BASE)):
+        p, ipw = prefix_names(symbols, base)
+        both.append(mix((p[end] - p[first]) * ipw[first] + mix((end - first).astype(np.uint64))))
+    return both[0], (both[1] >> U(32)).astype(np.uint32)
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of some bytes."""
     gap = np.ones(len(data) + 2, bool)
@@ -143,9 +160,10 @@ class Batch:
             yield a, (x if self.spec.words else BYTE_NAME[x])
 
     def segments(self) -> tuple[np.ndarray, ...]:
-        """First and last window, pick and whole name of each segment, and its document."""
+        """First and last window, pick, whole name and its check of each segment, and its document."""
         k, length = self.spec.k, self.spec.length
-        found = [], [], [], []
+        kinds = np.int64, np.int64, np.uint64, np.uint64, np.uint32
+        found: tuple[list, ...] = tuple([] for _ in kinds)
         for a, x in self.slices():
             m = len(x) - length + 1
             ok = np.ones(m + 1, bool)
@@ -157,37 +175,54 @@ class Batch:
             same = np.zeros(m + 1, bool)
             same[1:m] = (pick[1:] == pick[:-1]) & ok[: m - 1] & ok[1:m]
             first, last = np.flatnonzero(ok[:m] & ~same[:m]), np.flatnonzero(ok[:m] & ~same[1:])
-            p, ipw = prefix_names(x)
-            whole = mix((p[last + length] - p[first]) * ipw[first] + mix((last - first).astype(np.uint64)))
-            for to, v in zip(found, (first + a, last + a, mix(pick[first]), whole), strict=True):
+            for to, v in zip(found, (first + a, last + a, mix(pick[first]), *range_names(x, first, last + length)), strict=True):
                 to.append(v)
-        first, last, pick, whole = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
-        return first, last, pick, whole, self.ids[np.searchsorted(self.bounds, first, "right") - 1] if len(first) else np.zeros(0, np.int64)
+        first, last, pick, whole, check = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, kinds, strict=True))
+        return first, last, pick, whole, check, self.ids[np.searchsorted(self.bounds, first, "right") - 1] if len(first) else np.zeros(0, np.int64)
 
-    def names_at(self, at: np.ndarray) -> np.ndarray:
-        """Names of the windows that start at ``at`` (ascending)."""
-        out = np.zeros(len(at), np.uint64)
+    def names_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of the windows that start at ``at`` (ascending)."""
+        out, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
         for a, x in self.slices():
             lo, hi = np.searchsorted(at, (a, a + SLICE))
             if lo < hi:
-                p, ipw = prefix_names(x)
                 q = at[lo:hi] - a
-                out[lo:hi] = mix((p[q + self.spec.length] - p[q]) * ipw[q])
-        return out
+                out[lo:hi], check[lo:hi] = range_names(x, q, q + self.spec.length)
+        return out, check
+
+
+def grouped(names: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by name and check, and where in it a new one begins."""
+    order = np.argsort(names)
+    n = names[order]
+    new = np.r_[np.ones(min(1, len(n)), bool), n[1:] != n[:-1]]
+    if check is not None and len(n):
+        c = check[order]
+        differ = c[1:] != c[:-1]
+        if (differ & ~new[1:]).any():  # one name of different checks: almost never
+            order = np.lexsort((check, names))
+            n, c = names[order], check[order]
+            new[1:] = (n[1:] != n[:-1]) | (c[1:] != c[:-1])
+    return order, new
 
 
 class Ranks:
     """Distinct names with smallest document and count, as this batch sees them and then as the corpus does."""
 
-    def __init__(self, names: np.ndarray, docs: np.ndarray | None = None):
-        self.names, self.inverse, self.count = np.unique(names, return_inverse=True, return_counts=True)
-        self.low = np.zeros(len(self.names), np.int64)
-        if docs is not None and len(names):
-            order = np.argsort(self.inverse, kind="stable")
-            self.low = np.minimum.reduceat(docs[order], np.r_[0, np.cumsum(self.count)[:-1]])
+    def __init__(self, names: np.ndarray, docs: np.ndarray | None = None, check: np.ndarray | None = None, bits: int = 64):
+        self.bits = bits
+        if bits < 64:
+            names = names >> U(64 - bits)
+        order, new = grouped(names, check)
+        first = np.flatnonzero(new)
+        self.names, self.check = names[order[first]], None if check is None else check[order[first]]
+        self.inverse = np.empty(len(names), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.count = np.diff(np.r_[first, len(names)])
+        self.low = np.minimum.reduceat(docs[order], first) if docs is not None and len(names) else np.zeros(len(first), np.int64)
 
     def bounds(self, buckets: int) -> np.ndarray:
-        edges = np.array([min((1 << 64) - 1, -(-(b << 64) // buckets)) for b in range(1, buckets)], np.uint64)
+        edges = np.array([min((1 << self.bits) - 1, -(-(b << self.bits) // buckets)) for b in range(1, buckets)], np.uint64)
         return np.r_[0, np.searchsorted(self.names, edges), len(self.names)]
 
     def requests(self, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -195,9 +230,9 @@ class Ranks:
         for b in range(buckets):
             if at[b] < at[b + 1]:
                 s = slice(at[b], at[b + 1])
-                gaps = np.diff(self.names[s], prepend=U(0))
-                low = self.low[s]
-                yield b, pickle.dumps((planes(gaps), None if not low.any() else planes(low.view(np.uint64)), planes(self.count[s].astype(np.uint64))), 5)
+                gaps, low, count = np.diff(self.names[s], prepend=U(0)), self.low[s], self.count[s]
+                more = None if not low.any() else planes(low.view(np.uint64)), None if (count == 1).all() else planes(count.astype(np.uint64))
+                yield b, pickle.dumps((planes(gaps), *more, None if self.check is None else self.check[s].tobytes()), 5)
 
     def apply(self, answers: dict[int, bytes], buckets: int) -> None:
         at = self.bounds(buckets)
@@ -226,12 +261,11 @@ def rank(table: pa.Table, number: int) -> pa.Table:
     names = [np.cumsum(unplanes(*p[0]), dtype=np.uint64) for p in parts]
     sizes = np.array([len(n) for n in names])
     name = np.concatenate(names)
-    low = np.concatenate([np.zeros(p[0][0], np.int64) if p[1] is None else unplanes(*p[1]).view(np.int64) for p in parts])
-    count = np.concatenate([unplanes(*p[2]).view(np.int64) for p in parts])
-    order = np.argsort(name, kind="stable")
-    ranked = name[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    group = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
+    low = np.concatenate([np.zeros(n, np.int64) if p[1] is None else unplanes(*p[1]).view(np.int64) for n, p in zip(sizes, parts, strict=True)])
+    count = np.concatenate([np.ones(n, np.int64) if p[2] is None else unplanes(*p[2]).view(np.int64) for n, p in zip(sizes, parts, strict=True)])
+    check = None if parts[0][3] is None else np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts])
+    order, new = grouped(name, check)
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
     all_low, all_count = np.empty_like(low), np.empty_like(count)
     all_low[order] = np.minimum.reduceat(low[order], first)[group]
     all_count[order] = np.add.reduceat(count[order], first)[group]
@@ -246,22 +280,29 @@ def rank(table: pa.Table, number: int) -> pa.Table:
     return pa.table({"batch": pa.array(columns[0], pa.int64()), "round": pa.array(columns[1], pa.int32()), "bucket": pa.array(columns[2], pa.int32()), "blob": pa.array(columns[3], pa.binary())})
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch], text: str = "text", doc: str = "doc_id") -> Iterator[pa.RecordBatch]:
-    """Rows in packs of about 2 MB of text; the columns besides the text stay as they are."""
+MOST_ROWS = 50_000
+#: Rows of a pack (at most twice ``MOST_ROWS``), as a power of 2; with 20 bits for the packs of a partition and 26 for partitions, rows can be numbered.
+ROW_BITS, PACK_BITS = 17, 20
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch], numbered: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows in packs of about 4 MB of text; the columns besides the text stay as they are. ``ids`` are doc_ids, or numbers of the rows."""
     part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    text, doc = "text", "doc_id"
 
     def one() -> pa.RecordBatch:
         nonlocal number
         t = pa.Table.from_batches(held)
         raw = [v.as_py() or b"" for v in t[text].cast(pa.binary())]
-        ids = np.array([NO_ID if v is None else v for v in t[doc].to_pylist()], np.int64)
+        batch = part << PACK_BITS | number
+        ids = (batch << ROW_BITS) + np.arange(len(t)) if numbered else np.array([NO_ID if v is None else v for v in t[doc].to_pylist()], np.int64)
         sink = pa.BufferOutputStream()
         rest = t.drop_columns([text])
         with pa.ipc.new_stream(sink, rest.schema) as out:
             out.write_table(rest)
         whole = b"".join(raw)
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        row = [part << 32 | number, len(whole), ids.tobytes(), np.array([len(r) for r in raw], np.int64).tobytes(), squeeze(whole), squeeze(sink.getvalue().to_pybytes())]
+        row = [batch, len(whole), ids.tobytes(), np.array([len(r) for r in raw], np.int64).tobytes(), squeeze(whole), squeeze(sink.getvalue().to_pybytes())]
         number += 1
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["batch", "n_bytes", "ids", "lens", "blob", "rest"])
 
@@ -270,11 +311,11 @@ def pack_rows(batches: Iterator[pa.RecordBatch], text: str = "text", doc: str =
         a = 0
         while a < b.num_rows:
             n = max(1, int(np.searchsorted(bytes_before, bytes_before[a] + BATCH_BYTES - size, "right")) - 1 - a)
-            n = min(n, b.num_rows - a)
+            n = min(n, b.num_rows - a, MOST_ROWS)
             held.append(b.slice(a, n))
             size += int(bytes_before[a + n] - bytes_before[a])
             a += n
-            if size >= BATCH_BYTES * 9 // 10 or sum(h.num_rows for h in held) >= 50_000:
+            if size >= BATCH_BYTES * 9 // 10 or sum(h.num_rows for h in held) >= MOST_ROWS:
                 yield one()
                 held, size = [], 0
     if held:
@@ -286,12 +327,17 @@ def rest_of(row: dict) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """``docs`` as a table of packs, bucketed by pack so that later rounds join answers without moving texts."""
+def packed(docs: DataFrame, numbered: bool = False) -> DataFrame:
+    """``docs`` as a table of packs, bucketed by pack so that later rounds join answers without moving texts.
+
+    The catalog has it only while it is opened; its files go with the application's scratch folder.
+    """
     spark, n, name = docs.sparkSession, partitions(docs.sparkSession), f"lodestone_{uuid.uuid4().hex}"
-    rows = docs.mapInArrow(pack_rows, PACKED).repartition(n, "batch")
+    rows = docs.mapInArrow(lambda it: pack_rows(it, numbered), PACKED).repartition(n, "batch")
     rows.write.bucketBy(n, "batch").option("path", scratch(spark, "packs")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def with_answers(packs: DataFrame, answers: DataFrame | None, f: Callable[[dict, dict[int, dict[int, bytes]]], pa.Table], schema: str) -> DataFrame:
@@ -315,9 +361,9 @@ def with_answers(packs: DataFrame, answers: DataFrame | None, f: Callable[[dict,
 
 
 def bucket_count(packs: DataFrame) -> int:
-    """Buckets of names, one for every 2 MB of text."""
+    """Buckets of names, one for every ``BUCKET_BYTES`` of text."""
     total = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return max(64, int(total) // BATCH_BYTES)
+    return max(64, int(total) // BUCKET_BYTES)
 
 
 def asked(requests: Iterator[tuple[int, bytes]], batch: int) -> pa.Table:
@@ -340,15 +386,15 @@ class Replay:
 
     def __init__(self, row: dict, told: dict[int, dict[int, bytes]], spec: Spec, buckets: int, rounds: int):
         self.batch, self.buckets = Batch(row, spec), buckets
-        self.first, self.last, pick, self.whole, self.doc = self.batch.segments()
+        self.first, self.last, pick, self.whole, self.check, self.doc = self.batch.segments()
         self.pick = pick
-        self.ranks = Ranks(pick)
+        self.ranks = Ranks(pick, bits=PICK_BITS)
         if rounds < 2:
             return
         self.ranks.apply(told.get(1, {}), buckets)
         self.of_pick = self.ranks.count[self.ranks.inverse]
         self.shared = np.flatnonzero(self.of_pick > 1)
-        self.ranks = Ranks(self.whole[self.shared], self.doc[self.shared])
+        self.ranks = Ranks(self.whole[self.shared], self.doc[self.shared], self.check[self.shared])
         if rounds < 3:
             return
         self.ranks.apply(told.get(2, {}), buckets)
@@ -359,16 +405,14 @@ class Replay:
     def windows(self, segments: np.ndarray) -> Ranks:
         self.at = ranges(self.first[segments], self.last[segments])
         self.at_doc = np.repeat(self.doc[segments], self.last[segments] - self.first[segments] + 1)
-        return Ranks(self.batch.names_at(self.at), self.at_doc)
+        names, check = self.batch.names_at(self.at)
+        return Ranks(names, self.at_doc, check)
 
     def covered(self, more: np.ndarray) -> np.ndarray:
         """Symbols under removed windows: those of ``gone`` segments, and those that start at ``more``."""
         n, length = len(self.batch.symbols), self.batch.spec.length
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, self.first[self.gone], 1)
-        np.add.at(edge, self.last[self.gone] + length, -1)
-        np.add.at(edge, more, 1)
-        np.add.at(edge, more + length, -1)
+        edge = np.bincount(np.r_[self.first[self.gone], more], minlength=n + 1)
+        edge -= np.bincount(np.r_[self.last[self.gone], more] + length, minlength=n + 1)
         return np.cumsum(edge[:n]) > 0
 
 
