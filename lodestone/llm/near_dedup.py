@@ -9,7 +9,8 @@ are ranked across the corpus as in ``windows``: each document is held against th
 earliest document of each of its bands, by exact similarity, and verified pairs are united.
 Documents of a band that this leaves in several components are then held against each other, in
 tiles of bounded size, so that every pair that shares a band is united or was checked.
-Equal texts are united first and enter once.
+Equal texts are united first and enter once. All of this is done on numbers of rows, so that rows
+of one doc_id with different texts are signed each; doc_ids come in at the end.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, written
-from .windows import ANSWER, REQUEST, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, with_answers
+from .common import components, fresh, written
+from .windows import ANSWER, REQUEST, ROW_BITS, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, rest_of, with_answers
 
-COPIES, BANDS, KEYS = 1, 2, 3
+COPIES, BANDS, KEYS, GONE = 1, 2, 3, 4
 #: Documents on one side of a tile of a band.
 TILE = 256
 #: Poisson(area) distribution functions are cut where less than 2 to the -53 is left.
@@ -140,12 +141,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def expanded(names: np.ndarray) -> np.ndarray:
-    """Sorted 32-bit names of (shingle, how many of it before)."""
+    """Sorted names of (shingle, how many of it before)."""
     s = np.sort(names)
     new = np.r_[True, s[1:] != s[:-1]]
     first = np.flatnonzero(new)
     nth = np.arange(len(s)) - first[np.cumsum(new) - 1] if len(s) else np.zeros(0, np.int64)
-    return np.unique((mix(s + nth.astype(np.uint64) * U(0xD1342543DE82EF95)) >> U(32)).astype(np.uint32))
+    return np.unique(mix(s + nth.astype(np.uint64) * U(0xD1342543DE82EF95)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -154,23 +155,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Signed:
-    """A pack's documents: which are first of their text, and the band names of those."""
+    """A pack's rows: which are first of their text, and the band names of those."""
 
     def __init__(self, row: dict, told: dict, buckets: int, shingle: int, bands: int, rows: int, rounds: int):
         self.batch = b = Batch(row, Spec(1, 1, words=True))
         self.shingle = shingle
         texts = [b.data[s:e] for s, e in zip(b.starts[:-1], b.starts[1:], strict=True)]
-        self.text = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+        digests = b"".join(hashlib.blake2b(t, digest_size=12).digest() for t in texts)
+        name = np.frombuffer(digests, np.dtype([("name", "<u8"), ("check", "<u4")]))
         self.some = np.flatnonzero(b.counts > 0)
-        self.ranks = Ranks(self.text[self.some], b.ids[self.some])
+        self.ranks = Ranks(name["name"][self.some], b.ids[self.some], name["check"][self.some])
         if rounds < 2:
             return
         self.ranks.apply(told.get(COPIES, {}), buckets)
         self.low = b.ids.copy()
         self.low[self.some] = self.ranks.low[self.ranks.inverse]
-        own = self.some[self.low[self.some] == b.ids[self.some]]
-        _, one = np.unique(b.ids[own], return_index=True)
-        self.own = own[one]
+        self.own = self.some[self.low[self.some] == b.ids[self.some]]
         self.of = np.repeat(self.own, bands)
         if KEYS in told:
             self.keys = np.frombuffer(told[KEYS][0], np.uint64)
@@ -193,23 +193,47 @@ class Signed:
         return self.batch.symbols[self.batch.bounds[d] : self.batch.bounds[d + 1]]
 
 
+def shared(features: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many features each of ``left`` has in common with each of ``right``: 0/1 products, a block of features at a time."""
+    at = np.unique(np.r_[left, right])
+    rows, names = np.repeat(np.arange(len(at)), [len(features[i]) for i in at]), np.concatenate([features[i] for i in at])
+    _, column, count = np.unique(names, return_inverse=True, return_counts=True)
+    several = count > 1  # what one row alone has adds nothing
+    place = np.cumsum(several) - 1
+    use = several[column]
+    rows, column = rows[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    x, y = np.searchsorted(at, left), np.searchsorted(at, right)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, int(several.sum()), width):
+        s, e = np.searchsorted(column, (a, a + width))
+        has = np.zeros((len(at), width), np.float32)
+        has[rows[s:e], column[s:e] - a] = 1
+        out += (has[x] @ has[y].T).astype(np.int64)
+    return out
+
+
 def crossing(t: pa.Table, threshold: float) -> pa.Table:
-    """Similar pairs of different components in one tile of each band of ``t``; a pair is checked in the first band it shares."""
-    t = t.sort_by([("key", "ascending"), ("doc_id", "ascending")])
-    key, ids, component, own = (t[c].to_numpy() for c in ("key", "doc_id", "component", "own"))
-    features = [np.frombuffer(f, np.uint32) for f in t["features"].to_pylist()]
-    size, keys = np.array([len(f) for f in features]), [frozenset(k) for k in t["keys"].to_pylist()]
+    """Similar pairs of different components in one tile of each band of ``t``."""
+    t = t.sort_by([("key", "ascending"), ("row", "ascending")])
+    key, ids, component, own = (t[c].to_numpy() for c in ("key", "row", "component", "own"))
+    features = [np.frombuffer(f, np.uint64) for f in t["features"].to_pylist()]
+    size = np.array([len(f) for f in features])
     i, j = int(t["i"][0].as_py()), int(t["j"][0].as_py())
-    found: list[tuple[int, int]] = []
+    found = []
     cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
     for s, e in zip(cut[:-1], cut[1:], strict=True):
-        right = s + np.flatnonzero(own[s:e] == j)
-        for a in s + np.flatnonzero(own[s:e] == i):
-            to = right[right > a] if i == j else right
-            to = to[component[to] != component[a]]
-            to = to[np.minimum(size[to], size[a]) >= threshold * np.maximum(size[to], size[a])]
-            found += [(ids[a], ids[b]) for b in to if min(keys[a] & keys[b]) == key[s] and similarity(features[a], features[b]) >= threshold]
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        left, right = s + np.flatnonzero(own[s:e] == i), s + np.flatnonzero(own[s:e] == j)
+        if not len(left) or not len(right):
+            continue
+        both = shared(features, left, right)
+        fits = (both >= threshold * (size[left][:, None] + size[right][None] - both)) & (component[left][:, None] != component[right][None])
+        x, y = np.nonzero(fits)
+        x, y = left[x], right[y]
+        found.append((ids[x[x != y]], ids[y[x != y]]))
+    a, b = (np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)]) for n in (0, 1))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -217,35 +241,26 @@ def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFram
 
     The largest component of a band is not held against itself: its tiles meet only those of the others.
     """
-    near = rows_of.where("size(keys) > 0").select("doc_id", "keys", "features")
-    named = near.select("doc_id", F.explode("keys").alias("key")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    members = written(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    near = rows_of.where("size(keys) > 0").select("row", "keys", "features")  # keys: the bands of which the row is not the first
+    named = near.select("row", F.explode("keys").alias("key")).join(labels.withColumnRenamed("id", "row"), "row", "left")
+    members = written(named.select("key", "row", F.coalesce("component", "row").alias("component")), "members")
     parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
-    own = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("most") / TILE))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others"))).cast("int")
+    own = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("row"), F.ceil(F.col("most") / TILE))).otherwise(F.pmod(F.xxhash64("row"), F.col("others"))).cast("int")
     slots = members.join(mixed, "key").withColumn("others", F.ceil((F.col("n") - F.col("most")) / TILE)).withColumn("own", own)
-    slots = written(slots.select("key", "doc_id", "component", "n", "own", F.col("others").cast("int").alias("others"), F.ceil(F.col("most") / TILE).cast("int").alias("mains")), "slots")
+    slots = written(slots.select("key", "row", "component", "n", "own", F.col("others").cast("int").alias("others"), F.ceil(F.col("most") / TILE).cast("int").alias("mains")), "slots")
     buckets = max(64, slots.count() // TILE)
     # A band of several tiles is a group of its own for each pair of tiles; small ones share buckets
     group = F.when(F.col("n") > TILE, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))
     last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
-    placed = slots.join(near, "doc_id").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    placed = placed.select("grp", "key", "doc_id", "component", "keys", "features", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = slots.join(near, "row").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("grp", "key", "row", "component", "features", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return placed.groupBy("grp", "i", "j").applyInArrow(lambda t: crossing(t, threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, component_id (smallest doc_id that links reach), kept (they are equal), one row per row of ``docs`` (doc_id, text, ...).
-
-    Documents link if their multisets of ``shingle`` consecutive words have a weighted Jaccard similarity
-    of ``threshold`` or more; texts under ``shingle`` words are one shingle of all their words. Null,
-    empty and wordless texts link with nothing. Rows of one doc_id share a component; null doc_ids have a null
-    component, are not kept and link with nothing. Other columns are ignored; an empty table gives no rows.
-    A pair that shares no band is not checked: at similarity s that has probability (1 - s**rows)**bands.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    able = docs.where("doc_id is not null")
-    packs = packed(able)
+def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packs of ``docs``; (row, doc_id, ...) of all rows; and (id, component) of the rows that link with others."""
+    packs = packed(docs, numbered=True)
     buckets = bucket_count(packs)
 
     def signed(number: int):
@@ -262,42 +277,94 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
 
     def found(row: dict, told: dict) -> pa.Table:
-        """Documents with the first of their text, with the candidates of that, and with its features if it has candidates or is one."""
+        """Rows with the first of their text, with the candidates of that, and with its features if it has candidates or is one."""
         s = signed(2)(row, told)
         s.ranks.apply(told.get(BANDS, {}), buckets)
         low, many = s.ranks.low[s.ranks.inverse], s.ranks.count[s.ranks.inverse] > 1
-        bands_of = len(low) // max(1, len(s.own))
-        cand = {int(d): np.unique(low[i * bands_of : (i + 1) * bands_of]) for i, d in enumerate(s.own)}
-        used = {int(d) for d in s.of[many]}
-        later = many & (low != s.batch.ids[s.of])
-        keys = {int(d): s.keys[i * bands_of : (i + 1) * bands_of][later[i * bands_of : (i + 1) * bands_of]].view(np.int64).tolist() for i, d in enumerate(s.own)}
-        out = []
-        for d in range(len(s.batch.ids)):
-            doc = int(s.batch.ids[d])
-            to = [int(c) for c in cand.get(d, ()) if c != doc]
-            out.append((doc, int(s.low[d]), to, expanded(shingles(s.words(d), shingle)).tobytes() if d in used else None, keys.get(d, [])))
-        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "first": pa.array([o[1] for o in out], pa.int64()), "candidates": pa.array([o[2] for o in out], pa.list_(pa.int64())), "features": pa.array([o[3] for o in out], pa.binary()), "keys": pa.array([o[4] for o in out], pa.list_(pa.int64()))})
+        later, own_keys = many & (low != s.batch.ids[s.of]), s.keys.view(np.int64)
+        n = len(s.batch.ids)
+        cand, keys, features = [[]] * n, [[]] * n, [None] * n
+        for i, d in enumerate(s.own):
+            part = slice(i * bands, (i + 1) * bands)
+            if many[part].any():
+                to = np.unique(low[part])
+                cand[d], keys[d] = to[to != s.batch.ids[d]].tolist(), own_keys[part][later[part]].tolist()
+                features[d] = expanded(shingles(s.words(d), shingle)).tobytes()
+        numbers = pa.list_(pa.int64())
+        return pa.table({"row": pa.array(s.batch.ids), "doc_id": rest_of(row)["doc_id"].cast(pa.int64()), "first": pa.array(s.low), "candidates": pa.array(cand, numbers), "features": pa.array(features, pa.binary()), "keys": pa.array(keys, numbers)})
 
     one = written(ranked(with_answers(packs, None, first, REQUEST), COPIES), "ranks")
     signs = written(with_answers(packs, one, sign, ANSWER), "signatures")
     two = ranked(signs.where(F.col("round") == BANDS).select("bucket", "batch", "blob"), BANDS)
-    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "doc_id long, first long, candidates array<long>, features binary, keys array<long>"), "found")
-    features = rows_of.where("features is not null").select("doc_id", "features")
-    pairs = rows_of.select(F.col("doc_id").alias("b"), F.explode("candidates").alias("a")).distinct()
+    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "row long, doc_id long, first long, candidates array<long>, features binary, keys array<long>"), "found")
+    features = rows_of.where("features is not null").select("row", "features")
+    pairs = rows_of.select(F.col("row").alias("b"), F.explode("candidates").alias("a")).distinct()
     held = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= threshold for x, y in zip(b["fa"], b["fb"], strict=True)]
+            ok = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= threshold for x, y in zip(b["fa"], b["fb"], strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    copies = rows_of.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    copies = rows_of.where("first <> row").select(F.col("first").alias("a"), F.col("row").alias("b"))
     labels = components(held.mapInArrow(verified, "a long, b long").union(copies), "near")
     more = written(crossed(rows_of, labels, threshold), "crossed")
     if not more.isEmpty():
         labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more), "near")
-    named = docs.select("doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return packs, rows_of, labels
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that links reach), kept (they are equal), one row per row of ``docs`` (doc_id, text, ...).
+
+    Documents link if their multisets of ``shingle`` consecutive words have a weighted Jaccard similarity
+    of ``threshold`` or more; texts under ``shingle`` words are one shingle of all their words. Null,
+    empty and wordless texts link with nothing. Rows of one doc_id share a component, and a link of any of them is a link of
+    the doc_id; null doc_ids have a null component, are not kept and link with nothing. Other columns are ignored; an empty
+    table gives no rows. A pair that shares no band is not checked: at similarity s that has probability (1 - s**rows)**bands.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, rows_of, labels = near_rows(docs.where("doc_id is not null"), threshold, shingle, bands, rows)
+    labelled = rows_of.select("doc_id", "row").join(labels.withColumnRenamed("id", "row"), "row", "left")
+    labelled = written(labelled.select("doc_id", F.coalesce("component", "row").alias("component")), "labelled")
+    several = labelled.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("doc_id", "a")
+    repeated = written(labelled.join(several, "doc_id").select("a", F.col("component").alias("b")).distinct(), "repeated")
+    if not repeated.isEmpty():  # one doc_id's rows join what they are in
+        up = components(repeated, "repeated").toDF("component", "up")
+        labelled = labelled.join(up, "component", "left").select("doc_id", F.coalesce("up", "component").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = labelled.join(least, "component").select("doc_id", "component_id")
+    return named.union(docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group of near duplicates, as ``near_duplicates`` finds them, with all its columns.
+
+    Rows are judged each by its own text: rows of one doc_id with other texts stay. Of a group the row of
+    the smallest doc_id stays, null being the last; of its equals any one. Null, empty and wordless texts stay.
+    Columns may bear any names; an empty table gives no rows.
+    """
+    missing = fresh("_null", docs.columns)
+    packs, rows_of, labels = near_rows(docs.withColumn(missing, F.col("text").isNull()), threshold, shingle, bands, rows)
+    grouped = rows_of.select("doc_id", "row", "first").join(labels.withColumnRenamed("id", "row"), "row")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "first", "row")
+    stays = grouped.groupBy("component").agg(F.min(place)["row"].alias("row")).select("row", F.lit(True).alias("stays"))
+    gone = grouped.join(stays, "row", "left").where("stays is null").select("row", F.shiftright("row", ROW_BITS).alias("batch"))
+
+    def numbers(t: pa.Table) -> pa.Table:
+        return pa.table({"batch": t["batch"].slice(0, 1), "round": pa.array([GONE], pa.int32()), "bucket": pa.array([0], pa.int32()), "blob": pa.array([np.sort(t["row"].to_numpy()).tobytes()], pa.binary())})
+
+    names = docs.columns
+
+    def keep(row: dict, told: dict) -> pa.Table:
+        b = Batch(row, Spec(1, 1))
+        left = ~np.isin(b.ids, np.frombuffer(told.get(GONE, {}).get(0, b""), np.int64))
+        rest = rest_of(row)
+        texts = [None if none else b.data[s:e].decode() for s, e, none in zip(b.starts[:-1], b.starts[1:], rest[missing].to_pylist(), strict=True)]
+        columns = {n: rest[n] for n in rest.column_names} | {"text": pa.array(texts, pa.string())}
+        return pa.table({n: columns[n] for n in names}).filter(pa.array(left))
+
+    return with_answers(packs, gone.groupBy("batch").applyInArrow(numbers, ANSWER), keep, docs.schema)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
