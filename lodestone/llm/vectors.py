@@ -21,3 +21,16 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 1))
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def quantised(v: np.ndarray, kind: type = np.int8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Integer codes, scale, norm of the residue and norm of what the codes stand for."""
+    scale = np.abs(v).max(1, keepdims=True) / np.iinfo(kind).max
+    code = np.rint(v / scale).astype(kind)
+    stands = code * scale
+    return code, scale[:, 0], np.linalg.norm(v - stands, axis=1), np.linalg.norm(stands, axis=1)
+
+
+def codes(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Rows of codes that are held as binaries of equal length."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
