@@ -93,6 +93,7 @@ def fill(counts: dict[int, int], capacity: int) -> Iterator[list[int]]:
 
 def best_fit(parts: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``; lengths are from 1 to ``capacity``."""
+    parts = written(parts, "pieces")
     shards = max(1, -(-parts.count() // shard_pieces))
     columns = parts.columns
 
@@ -110,7 +111,8 @@ def best_fit(parts: DataFrame, capacity: int = 4096, shard_pieces: int = 40_000)
         return part[columns].assign(sequence_id=at, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # Dealt by place in the written table: null and repeated doc_ids spread like others
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
 
 
@@ -121,7 +123,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, vocabulary: str | None
     documents over ``capacity`` are cut, others never. Repeated rows are packed each; null
     doc_ids stay null; other columns are ignored; an empty table gives no rows.
     """
-    return best_fit(written(pieces(docs, capacity, vocabulary), "pieces"), capacity)
+    return best_fit(pieces(docs, capacity, vocabulary), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.n
     able = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
     one = able.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     few = F.broadcast(one)  # of at most ``rows`` rows
-    found = with_statistics(docs.select("doc_id", "text").join(few, "doc_id"), ["doc_id", "quality"]).toPandas().sort_values("doc_id", kind="stable")
+    # One row for each label, so that repeated doc_ids keep the bound; of these the one of the largest statistics
+    each = with_statistics(docs.select("doc_id", "text").join(few, "doc_id"), ["doc_id", "quality"])
+    one_each = each.groupBy("doc_id").agg(F.max(F.struct(*STATISTICS, "quality")).alias("s")).select("doc_id", "s.*")
+    found = one_each.toPandas().sort_values("doc_id", kind="stable")
     return found[list(STATISTICS)].to_numpy(np.float64), (found["quality"].to_numpy() >= 1).astype(np.float64)
 
 
