@@ -6,54 +6,68 @@ read again as the next stage's documents. All stages but the last return the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import written
-from lodestone.llm.language_id import UNKNOWN, predicted, sample_texts
+from lodestone.llm.language_id import identified
 from lodestone.llm.mixing import mixed_texts
-from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.near_dedup import deduplicated
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.suffix_dedup import suffix_dedup
 from lodestone.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that can be told; null ``lang`` is filled with it. Null and letterless texts go."""
+    """Documents of a language that can be told; null ``lang`` is filled with it.
+
+    Null, empty and letterless texts go; all others stay, whatever their language. Null and repeated doc_ids are rows like
+    others; columns may bear any names; an empty table gives no rows.
+    """
     ship(spark)
-    told = predicted(docs, sample_texts(docs)).where(F.col("lang_pred") != UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Rows without doc_id stay."""
+    """One document of each group of near duplicates: that of the smallest doc_id, null being the last.
+
+    Rows are judged by their texts, so that rows of one doc_id with other texts stay and equal rows do not. Null and
+    wordless texts stay; columns may bear any names; an empty table gives no rows.
+    """
     ship(spark)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "text"]))
-    found = docs.join(written(kept, "kept"), "doc_id").select(*docs.columns, F.row_number().over(one).alias("_nth")).where("_nth = 1").select(*docs.columns)
-    return found.union(docs.where("doc_id is null"))
+    return deduplicated(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what 50-byte strings of earlier documents cover; no document goes."""
+    """Texts without what 50-byte strings of earlier documents cover; no document goes.
+
+    Null texts stay null, short ones whole; a null doc_id is later than all others, and rows of one doc_id do not cut each
+    other; ``n_chars`` is counted anew; columns may bear any names; an empty table gives no rows.
+    """
     ship(spark)
     return suffix_dedup(docs, with_text=True).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them, the last time perhaps in part."""
+    """Documents as often as the mix of their sources takes them, the last time perhaps in part.
+
+    Null and wordless texts go, having nothing to take. A null source is one of its own; repeated rows are taken each;
+    columns may bear any names; an empty table gives no rows.
+    """
     ship(spark)
     return mixed_texts(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 4096 tokens."""
+    """Places of all pieces in sequences of at most 4096 tokens, of repeated rows each.
+
+    Null and empty texts are one token; null doc_ids stay null; other columns are not returned; an empty table gives no rows.
+    """
     ship(spark)
     return pack_documents(docs)
 
 
 STAGES = [("language ID", language_id), ("near-duplicate removal", near_dedup), ("suffix-array dedup", suffix_array_dedup), ("source mixing", mixing), ("best-fit packing", packing)]
-#: Models, hashed draws and packing have no SQL; the tests hold each stage against brute force.
+#: Models, hashed draws and packing have no SQL; ``tests/llm/test_pipeline.py`` holds each stage against its plain definition.
 ORACLE_SQL = None
 
 
