@@ -5,10 +5,10 @@ and rank over each shingle; those under the shingle's weight are kept, and each
 coordinates keeps its dart of lowest rank, so two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity. Darts are thrown rank cell by rank cell, only
 as far up as about k ln k darts need, whatever the number of shingles. Bands of the signature
-are ranked across the corpus as in ``windows``: each document is held against the
-earliest document of each of its bands, by exact similarity, and verified pairs are united.
-Documents of a band that this leaves in several components are then held against each other, in
-tiles of bounded size, so that every pair that shares a band is united or was checked.
+are ranked across the corpus as in ``windows``: each document is held against the document that is
+earliest in most of its bands, by exact similarity, and verified pairs are united.
+Documents of a band that this leaves in several components are then held against each other, in pairs
+where they are few and else in tiles of bounded size, so that every pair that shares a band is united or was checked.
 Equal texts are united first and enter once. All of this is done on numbers of rows, so that rows
 of one doc_id with different texts are signed each; doc_ids come in at the end.
 """
@@ -28,8 +28,10 @@ from .common import components, fresh, written
 from .windows import ANSWER, REQUEST, ROW_BITS, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, rest_of, with_answers
 
 COPIES, BANDS, KEYS, GONE = 1, 2, 3, 4
-#: Documents on one side of a tile of a band.
-TILE = 256
+#: Documents on one side of a tile of a band, and of a band up to which its pairs are listed.
+TILE, FEW = 1024, 8
+#: Rows of a partition whose bands are gathered at once.
+GATHERED = 20_000
 #: Poisson(area) distribution functions are cut where less than 2 to the -53 is left.
 _MOST = 24
 
@@ -236,16 +238,61 @@ def crossing(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
+def similar(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``features`` (row, features) are similar."""
+    both = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= threshold for x, y in zip(b["fa"], b["fb"], strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(verified, "a long, b long")
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, component, keys) turned into a row for each key, with the rows that have it and the range of their components."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = t["keys"].combine_chunks()
+        key, of = keys.flatten().to_numpy(), np.repeat(np.arange(len(t)), keys.value_lengths().to_numpy())
+        order = np.argsort(key, kind="stable")
+        key, row, component = key[order], t["row"].to_numpy()[of[order]], t["component"].to_numpy()[of[order]]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+        ends = pa.array(np.r_[first, len(key)], pa.int32())
+        low, high = (f.reduceat(component, first) if len(first) else component for f in (np.minimum, np.maximum))
+        columns = [pa.array(key[first]), pa.array(low), pa.array(high), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (row, component))]
+        return pa.record_batch(columns, ["key", "lo", "hi", "rows", "components"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= GATHERED:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
+
+
 def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between documents that share a band of which neither is the first, and that ``labels`` has in different components.
+    """Links (a, b) between rows that share a band and that ``labels`` has in different components.
 
+    Bands are gathered before they are dealt, and of those in one component nothing more is asked.
     The largest component of a band is not held against itself: its tiles meet only those of the others.
     """
-    near = rows_of.where("size(keys) > 0").select("row", "keys", "features")  # keys: the bands of which the row is not the first
-    named = near.select("row", F.explode("keys").alias("key")).join(labels.withColumnRenamed("id", "row"), "row", "left")
-    members = written(named.select("key", "row", F.coalesce("component", "row").alias("component")), "members")
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    near = rows_of.where("size(keys) > 0").select("row", "keys", "features")
+    banded = near.select("row", "keys").join(labels.withColumnRenamed("id", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("component"), "keys")
+    parts = written(banded.mapInArrow(by_key, "key long, lo long, hi long, rows array<long>, components array<long>"), "bands")
+    several = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.size("rows")).alias("n")).where("lo < hi").select("key", "n")
+    members = parts.join(several, "key").select("key", "n", F.explode(F.arrays_zip("rows", "components")).alias("m"))
+    members = written(members.select("key", "n", F.col("m.rows").alias("row"), F.col("m.components").alias("component")), "members")
+    few = members.where(F.col("n") <= FEW)
+    left, right = few.select("key", F.col("row").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("row").alias("b"), F.col("component").alias("cb"))
+    listed = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    members = members.where(F.col("n") > FEW).drop("n")
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     own = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("row"), F.ceil(F.col("most") / TILE))).otherwise(F.pmod(F.xxhash64("row"), F.col("others"))).cast("int")
     slots = members.join(mixed, "key").withColumn("others", F.ceil((F.col("n") - F.col("most")) / TILE)).withColumn("own", own)
     slots = written(slots.select("key", "row", "component", "n", "own", F.col("others").cast("int").alias("others"), F.ceil(F.col("most") / TILE).cast("int").alias("mains")), "slots")
@@ -253,9 +300,10 @@ def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     # A band of several tiles is a group of its own for each pair of tiles; small ones share buckets
     group = F.when(F.col("n") > TILE, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))
     last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
-    placed = slots.join(near, "row").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = slots.join(near.select("row", "features"), "row").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     placed = placed.select("grp", "key", "row", "component", "features", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return placed.groupBy("grp", "i", "j").applyInArrow(lambda t: crossing(t, threshold), "a long, b long").distinct()
+    tiled = placed.groupBy("grp", "i", "j").applyInArrow(lambda t: crossing(t, threshold), "a long, b long")
+    return similar(listed, near.select("row", "features"), threshold).union(tiled).distinct()
 
 
 def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -277,37 +325,30 @@ def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
 
     def found(row: dict, told: dict) -> pa.Table:
-        """Rows with the first of their text, with the candidates of that, and with its features if it has candidates or is one."""
+        """Rows with the first of their text; of those first also what is earliest in most of its bands, the bands it shares, and its features."""
         s = signed(2)(row, told)
         s.ranks.apply(told.get(BANDS, {}), buckets)
         low, many = s.ranks.low[s.ranks.inverse], s.ranks.count[s.ranks.inverse] > 1
-        later, own_keys = many & (low != s.batch.ids[s.of]), s.keys.view(np.int64)
-        n = len(s.batch.ids)
-        cand, keys, features = [[]] * n, [[]] * n, [None] * n
+        n, own_keys = len(s.batch.ids), s.keys.view(np.int64)
+        leader, keys, features = s.batch.ids.copy(), [[]] * n, [None] * n
         for i, d in enumerate(s.own):
             part = slice(i * bands, (i + 1) * bands)
             if many[part].any():
-                to = np.unique(low[part])
-                cand[d], keys[d] = to[to != s.batch.ids[d]].tolist(), own_keys[part][later[part]].tolist()
+                to, times = np.unique(low[part][low[part] != s.batch.ids[d]], return_counts=True)
+                leader[d] = to[times.argmax()] if len(to) else leader[d]
+                keys[d] = own_keys[part][many[part]].tolist()
                 features[d] = expanded(shingles(s.words(d), shingle)).tobytes()
         numbers = pa.list_(pa.int64())
-        return pa.table({"row": pa.array(s.batch.ids), "doc_id": rest_of(row)["doc_id"].cast(pa.int64()), "first": pa.array(s.low), "candidates": pa.array(cand, numbers), "features": pa.array(features, pa.binary()), "keys": pa.array(keys, numbers)})
+        return pa.table({"row": pa.array(s.batch.ids), "doc_id": rest_of(row)["doc_id"].cast(pa.int64()), "first": pa.array(s.low), "leader": pa.array(leader), "features": pa.array(features, pa.binary()), "keys": pa.array(keys, numbers)})
 
     one = written(ranked(with_answers(packs, None, first, REQUEST), COPIES), "ranks")
     signs = written(with_answers(packs, one, sign, ANSWER), "signatures")
     two = ranked(signs.where(F.col("round") == BANDS).select("bucket", "batch", "blob"), BANDS)
-    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "row long, doc_id long, first long, candidates array<long>, features binary, keys array<long>"), "found")
+    rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "row long, doc_id long, first long, leader long, features binary, keys array<long>"), "found")
     features = rows_of.where("features is not null").select("row", "features")
-    pairs = rows_of.select(F.col("row").alias("b"), F.explode("candidates").alias("a")).distinct()
-    held = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= threshold for x, y in zip(b["fa"], b["fb"], strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+    led = similar(rows_of.where("leader <> row").select(F.col("leader").alias("a"), F.col("row").alias("b")), features, threshold)
     copies = rows_of.where("first <> row").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    labels = components(held.mapInArrow(verified, "a long, b long").union(copies), "near")
+    labels = components(led.union(copies), "near")
     more = written(crossed(rows_of, labels, threshold), "crossed")
     if not more.isEmpty():
         labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more), "near")
