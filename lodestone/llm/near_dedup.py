@@ -217,9 +217,9 @@ def shared(features: list[np.ndarray], left: np.ndarray, right: np.ndarray, widt
 
 
 def crossing(t: pa.Table, threshold: float) -> pa.Table:
-    """Similar pairs of different components in one tile of each band of ``t``."""
+    """Components of similar pairs in one tile of each band of ``t``, where they differ."""
     t = t.sort_by([("key", "ascending"), ("row", "ascending")])
-    key, ids, component, own = (t[c].to_numpy() for c in ("key", "row", "component", "own"))
+    key, component, own = (t[c].to_numpy() for c in ("key", "component", "own"))
     features = [np.frombuffer(f, np.uint64) for f in t["features"].to_pylist()]
     size = np.array([len(f) for f in features])
     i, j = int(t["i"][0].as_py()), int(t["j"][0].as_py())
@@ -232,22 +232,22 @@ def crossing(t: pa.Table, threshold: float) -> pa.Table:
         both = shared(features, left, right)
         fits = (both >= threshold * (size[left][:, None] + size[right][None] - both)) & (component[left][:, None] != component[right][None])
         x, y = np.nonzero(fits)
-        x, y = left[x], right[y]
-        found.append((ids[x[x != y]], ids[y[x != y]]))
-    a, b = (np.concatenate([f[n] for f in found] or [np.zeros(0, np.int64)]) for n in (0, 1))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        found.append(np.unique(np.sort(np.c_[component[left[x]], component[right[y]]], axis=1), axis=0))
+    links = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
 def similar(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``features`` (row, features) are similar."""
-    both = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select("a", "b", "fa", "fb")
+    """Those of ``pairs`` (a, b, ...) whose ``features`` (row, features) are similar."""
+    names = pairs.columns
+    both = pairs.join(features.toDF("b", "fb"), "b").join(features.toDF("a", "fa"), "a").select(*names, "fa", "fb")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= threshold for x, y in zip(b["fa"], b["fb"], strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verified, "a long, b long")
+    return both.mapInArrow(verified, pairs.schema)
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +276,7 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between rows that share a band and that ``labels`` has in different components.
+    """Links (a, b) between components of ``labels``, by similar rows that share a band.
 
     Bands are gathered before they are dealt, and of those in one component nothing more is asked.
     The largest component of a band is not held against itself: its tiles meet only those of the others.
@@ -289,7 +289,7 @@ def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     members = written(members.select("key", "n", F.col("m.rows").alias("row"), F.col("m.components").alias("component")), "members")
     few = members.where(F.col("n") <= FEW)
     left, right = few.select("key", F.col("row").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("row").alias("b"), F.col("component").alias("cb"))
-    listed = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    listed = left.join(right, "key").where("a < b and ca <> cb").select("a", "b", "ca", "cb").distinct()
     members = members.where(F.col("n") > FEW).drop("n")
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -303,11 +303,11 @@ def crossed(rows_of: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     placed = slots.join(near.select("row", "features"), "row").withColumn("grp", group).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     placed = placed.select("grp", "key", "row", "component", "features", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tiled = placed.groupBy("grp", "i", "j").applyInArrow(lambda t: crossing(t, threshold), "a long, b long")
-    return similar(listed, near.select("row", "features"), threshold).union(tiled).distinct()
+    return similar(listed, near.select("row", "features"), threshold).select("ca", "cb").union(tiled).distinct().toDF("a", "b")
 
 
-def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Packs of ``docs``; (row, doc_id, ...) of all rows; and (id, component) of the rows that link with others."""
+def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Packs of ``docs``, and (row, doc_id, first, component) of all rows; ``first`` is the first row of the text."""
     packs = packed(docs, numbered=True)
     buckets = bucket_count(packs)
 
@@ -347,12 +347,14 @@ def near_rows(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
     rows_of = written(with_answers(packs, one.union(signs.where(F.col("round") == KEYS)).union(two), found, "row long, doc_id long, first long, leader long, features binary, keys array<long>"), "found")
     features = rows_of.where("features is not null").select("row", "features")
     led = similar(rows_of.where("leader <> row").select(F.col("leader").alias("a"), F.col("row").alias("b")), features, threshold)
-    copies = rows_of.where("first <> row").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    labels = components(led.union(copies), "near")
+    labels = components(led, "near")
     more = written(crossed(rows_of, labels, threshold), "crossed")
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more), "near")
-    return packs, rows_of, labels
+    if not more.isEmpty():  # components that are one after all, and rows that had none
+        up = components(more, "near")
+        joined = labels.join(up.toDF("component", "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+        labels = written(joined.union(up.join(labels, "id", "left_anti")), "labels")
+    named = rows_of.select("row", "doc_id", "first").join(labels.withColumnRenamed("id", "first"), "first", "left")
+    return packs, written(named.select("row", "doc_id", "first", F.coalesce("component", "first").alias("component")), "named")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -365,9 +367,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
     table gives no rows. A pair that shares no band is not checked: at similarity s that has probability (1 - s**rows)**bands.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, rows_of, labels = near_rows(docs.where("doc_id is not null"), threshold, shingle, bands, rows)
-    labelled = rows_of.select("doc_id", "row").join(labels.withColumnRenamed("id", "row"), "row", "left")
-    labelled = written(labelled.select("doc_id", F.coalesce("component", "row").alias("component")), "labelled")
+    _, labelled = near_rows(docs.where("doc_id is not null"), threshold, shingle, bands, rows)
+    labelled = labelled.select("doc_id", "component")
     several = labelled.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("doc_id", "a")
     repeated = written(labelled.join(several, "doc_id").select("a", F.col("component").alias("b")).distinct(), "repeated")
     if not repeated.isEmpty():  # one doc_id's rows join what they are in
@@ -386,8 +387,7 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, band
     Columns may bear any names; an empty table gives no rows.
     """
     missing = fresh("_null", docs.columns)
-    packs, rows_of, labels = near_rows(docs.withColumn(missing, F.col("text").isNull()), threshold, shingle, bands, rows)
-    grouped = rows_of.select("doc_id", "row", "first").join(labels.withColumnRenamed("id", "row"), "row")
+    packs, grouped = near_rows(docs.withColumn(missing, F.col("text").isNull()), threshold, shingle, bands, rows)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "first", "row")
     stays = grouped.groupBy("component").agg(F.min(place)["row"].alias("row")).select("row", F.lit(True).alias("stays"))
     gone = grouped.join(stays, "row", "left").where("stays is null").select("row", F.shiftright("row", ROW_BITS).alias("batch"))
