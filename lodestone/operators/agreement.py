@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .metrics import average_rank
 
 
@@ -36,10 +37,18 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, tau): the tie-corrected b variant, from counts of grade pairs, never from pairs of rows."""
-    c = contingency(df, a, b)
-    # Each cell against the cells of a larger x: the table of distinct grade pairs is small.
-    left, right = c.toDF("x1", "y1", "n1"), c.toDF("x2", "y2", "n2")
-    pairs = left.join(right, F.col("x1") < F.col("x2")).agg(F.coalesce(F.sum(F.signum(F.col("y2") - F.col("y1")) * F.col("n1") * F.col("n2")), F.lit(0.0)).alias("s"))
+    c = written(contingency(df, a, b), "cells")
+    # Cells of different y differ first in one bit of its rank: per bit, what stands before the cells with the bit set, less
+    # what stands behind them, by sums in the order of x. So cells are sorted once for each bit and never paired.
+    ranks = written(c.select("y").distinct().withColumn("r", F.row_number().over(Window.orderBy("y")) - 1), "ranks")
+    bits = max(1, int(ranks.agg(F.coalesce(F.max("r"), F.lit(0))).first()[0]).bit_length())
+    cells = c.join(ranks, "y").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    half = F.expr("shiftright(r, bit) & 1")
+    cells = cells.groupBy("bit", F.expr("shiftright(r, bit + 1)").alias("g"), "x").agg(F.sum(F.when(half == 0, F.col("n")).otherwise(0)).alias("lo"), F.sum(F.when(half == 1, F.col("n")).otherwise(0)).alias("hi"))
+    order = Window.partitionBy("bit", "g").orderBy("x")
+    before, behind = F.sum("lo").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.sum("lo").over(order.rowsBetween(1, Window.unboundedFollowing))
+    scored = cells.select((F.col("hi") * (F.coalesce(before, F.lit(0)) - F.coalesce(behind, F.lit(0)))).cast("double").alias("s"))
+    pairs = scored.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
 
     def untied(g: str) -> DataFrame:
         total = c.groupBy(g).agg(F.sum("n").alias("m")).agg(F.sum("m").alias("t"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("tied"))
@@ -48,6 +57,11 @@ def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.crossJoin(untied("x")).crossJoin(untied("y")).select(F.col("tx").alias("n"), F.round(F.when((F.col("ux") > 0) & (F.col("uy") > 0), F.col("s") / F.sqrt(F.col("ux") * F.col("uy"))), 6).alias("tau"))
 
 
+def joined_grades(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(qid, docno, a, b): the grades of two tables of judgements (qid, docno, relevance) where both have one."""
+    return left.select("qid", "docno", F.col("relevance").alias("a")).join(right.select("qid", "docno", F.col("relevance").alias("b")), ["qid", "docno"])
+
+
 def binarised(score: Column, least: int = 2) -> Column:
     return F.when(score >= least, 1).otherwise(0)
 

@@ -161,6 +161,12 @@ def chunk_python(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CHUNKS)
 
 
+def with_parents(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``parent_type`` and ``parent_name`` of the chunk that ``hierarchy.parent_id`` names in the same file; null at the top."""
+    up = chunks.select(F.col("file_path"), F.col("chunk_id").alias("_up"), F.col("chunk_type").alias("parent_type"), F.col("ast.name").alias("parent_name")).dropDuplicates(["file_path", "_up"])
+    return chunks.withColumn("_up", F.col("hierarchy.parent_id")).join(up, ["file_path", "_up"], "left").drop("_up")
+
+
 class PythonChunks:
     """Table function ``python_chunks(path, content)``: id, type, name, parent id and lines of each chunk."""
 

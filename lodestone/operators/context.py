@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,11 @@ def cross_file_context(chunks: DataFrame, path: str = "file_path", repo: str | N
     """
     key = [repo] if repo else []
     files = chunks.select(*key, F.col(path).alias("_f")).where("_f is not null").distinct()
-    few = files.groupBy(*key).agg(F.count("*").alias("_n"), F.slice(F.array_sort(F.collect_list("_f")), 1, most + 1).alias("_first")) if repo else None
+    few = None
+    if repo:
+        place = F.row_number().over(Window.partitionBy(repo).orderBy("_f"))  # cut within each partition before rows are dealt
+        first = files.withColumn("_p", place).where(F.col("_p") <= most + 1).groupBy(repo).agg(F.array_sort(F.collect_list("_f")).alias("_first"))
+        few = files.groupBy(repo).agg(F.count("*").alias("_n")).join(first, repo)
     if few is None:
         first = files.orderBy("_f").limit(most + 1).agg(F.array_sort(F.collect_list("_f")).alias("_first"))
         joined = chunks.crossJoin(F.broadcast(files.agg(F.count("*").alias("_n")).crossJoin(first)))  # one row

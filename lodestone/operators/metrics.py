@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
 from .joins import bounded
 
 
@@ -21,7 +22,7 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (5, 10),
 
     A topic that a system has no rank for scores 0. One join of runs with judgements; the ideal comes from the judgements alone.
     """
-    run, q = run.persist(), qrels.where("relevance is not null").persist()  # both are read twice; they hold ranks and judgements, no texts
+    run, q = written(run, "run"), written(qrels.where("relevance is not null"), "qrels")  # both are read twice; they hold ranks and judgements, no texts
     ideal_order = Window.partitionBy("qid").orderBy(F.desc("relevance"), "docno")
     ranked = q.withColumn("i", F.row_number().over(ideal_order) - 1)
     gain = F.greatest("relevance", F.lit(0)) / F.log2(F.col("i") + 2.0)

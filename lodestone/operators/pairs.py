@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import framework
 from ..functions.questions import different, keywords, question, questions
+from ..scratch import written
 from .joins import bounded
 
 FLAT = "chunk_id, file_path, chunk_type, code, symbol_type, name, docstring"
@@ -61,9 +62,17 @@ def negatives(anchors: DataFrame, chunks: DataFrame, attempts: int = 50, seed: i
     hash (going round), so each anchor meets its own run of candidates and no pairs but these are made. The order is cut into
     blocks of ``attempts``, and an anchor joins its own block and the next by an equi-join.
     """
-    keyed = chunks.select("chunk_id", "symbol_type", keywords(F.col("code")).alias("keys"), draw(seed, "chunk_id").alias("d"))
+    return _negatives(anchors, written(_keyed(chunks, seed), "keyed"), attempts)
+
+
+def _keyed(chunks: DataFrame, seed: int) -> DataFrame:
+    """What candidates are chosen by, without their code."""
+    return chunks.select("chunk_id", "symbol_type", keywords(F.col("code")).alias("keys"), draw(seed, "chunk_id").alias("d"))
+
+
+def _negatives(anchors: DataFrame, keyed: DataFrame, attempts: int) -> DataFrame:
     # Blocks by the leading bits of the hash: about ``attempts`` chunks each whatever the number of chunks.
-    blocks = max(1, chunks.count() // attempts)
+    blocks = max(1, keyed.count() // attempts)
     block = F.floor(F.conv(F.substring("d", 1, 12), 16, 10).cast("double") / float(1 << 48) * blocks).cast("long")
     keyed = keyed.withColumn("block", block)
     mine = anchors.select("chunk_id").join(keyed, "chunk_id")
@@ -76,20 +85,23 @@ def negatives(anchors: DataFrame, chunks: DataFrame, attempts: int = 50, seed: i
     return ranked.groupBy(F.col("a").alias("chunk_id")).agg(F.min_by("chunk_id", F.struct(~other, "n")).alias("negative_id"))
 
 
-def triplets(chunks: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
+def triplets(chunks: DataFrame, n: int = 100, seed: int = 42, attempts: int = 50) -> DataFrame:
     """(document_id, anchor, positive, negative, framework) for n sampled valid chunks; none if fewer than two are valid."""
     valid = valid_chunks(chunks)
-    some = sample(valid, n, "chunk_id", seed)
-    found = negatives(some, valid, seed=seed)
-    code = valid.select(F.col("chunk_id").alias("negative_id"), F.col("code").alias("negative"))
-    joined = some.join(bounded(found), "chunk_id").join(code, "negative_id")
+    keyed = written(_keyed(valid, seed), "keyed")
+    found = written(_negatives(keyed.orderBy("d", "chunk_id").limit(n), keyed, attempts), "negatives")
+    # Texts come last, in one pass, and only for the ids that were chosen
+    wanted = found.select("chunk_id").union(found.select("negative_id")).distinct()
+    rows = written(valid.join(bounded(wanted), "chunk_id"), "chosen")
+    code = rows.select(F.col("chunk_id").alias("negative_id"), F.col("code").alias("negative"))
+    joined = rows.join(bounded(found), "chunk_id").join(code, "negative_id")
     return joined.select(F.col("chunk_id").alias("document_id"), question(F.col("code"), F.col("symbol_type"), F.col("name")).alias("anchor"), F.col("code").alias("positive"), "negative", framework(F.col("file_path")).alias("framework"))
 
 
 def keep_first(df: DataFrame, key: str | Column, order: str) -> DataFrame:
-    """The first row of each key by ``order``."""
-    first = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """The first row of each key by ``order``, by partial minima: rows of a frequent key meet in none of the tasks."""
+    row = F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
+    return df.groupBy((F.col(key) if isinstance(key, str) else key).alias("_key")).agg(row).select("_row.*")
 
 
 def dense_ids(df: DataFrame, key: str, order: str, name: str = "dense_id") -> DataFrame:
@@ -108,3 +120,12 @@ def dense_ids(df: DataFrame, key: str, order: str, name: str = "dense_id") -> Da
 def relevant_documents(queries: DataFrame, corpus: DataFrame, by: str = "document_id") -> DataFrame:
     """(qid, docnos): all corpus rows that share the query's document, sorted."""
     return queries.join(corpus, by).groupBy("qid").agg(F.array_sort(F.collect_set("docno")).alias("docnos"))
+
+
+def relevant_classes(corpus: DataFrame, by: str = "document_id") -> DataFrame:
+    """(docno, first, copies) of every row of ``corpus(docno, by)``: the smallest docno of its document and how many share it.
+
+    The same relation as ``relevant_documents`` of all rows, without a list that grows with the square of a common document.
+    """
+    classes = corpus.groupBy(by).agg(F.min("docno").alias("first"), F.count("*").alias("copies"))
+    return corpus.join(classes, by).select("docno", "first", "copies")

@@ -10,7 +10,7 @@ from ..functions.paths import language
 from ..functions.text import without_nul
 from ..schemas import EXPORTED_AST, EXPORTED_HIERARCHY, EXPORTED_SPAN
 from .context import cross_file_context
-from .stats import repo_stats
+from .stats import dataset_metadata, repo_stats
 
 
 def narrow(chunks: DataFrame, clean: bool = True) -> DataFrame:
@@ -67,6 +67,16 @@ def write_pairs(pairs: DataFrame, path: str, form: str = "jsonl") -> None:
         write_json_array(pairs, f"{path}.json")
 
 
+def write_repo_stats(chunks: DataFrame, path: str) -> None:
+    """``repo_stats`` as JSON lines."""
+    write_jsonl(repo_stats(chunks), path, "overwrite")
+
+
+def write_dataset_metadata(chunks: DataFrame, path: str, name: str, version: str) -> None:
+    """``dataset_metadata`` as one JSON line."""
+    write_jsonl(dataset_metadata(chunks, name, version).coalesce(1), path, "overwrite")
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
     df.write.mode("overwrite").option("sep", sep).option("header", header).option("escape", '"').csv(path)
 

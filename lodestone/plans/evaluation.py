@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.questions import judge_score, prompt
 from ..functions.vectors import cosine, cut, max_sim
-from ..operators.agreement import arg_max, binarised, cohen_kappa, compare_systems, kendall_tau, weighted_kappa
+from ..operators.agreement import arg_max, binarised, cohen_kappa, compare_systems, joined_grades, kendall_tau, weighted_kappa
 from ..operators.joins import bounded
 from ..operators.metrics import BINARY_METRICS, METRICS, against_baseline, leaderboard, means, per_query, relative_gain
 from ..operators.pairs import keep_first
-from ..operators.retrieval import bm25, dense, judge_all, lexical_grade, pool, pool_texts, tokens, top_k
+from ..operators.retrieval import bm25, containing, dense, lexical_counts, lexical_grade, mean_pool, pool, pool_texts, term_counts, term_index, tokens
 from ..operators.stats import row_mean, value_counts
 from ..sources.tables import benchmark_corpus, table
 from .register import query
@@ -28,7 +28,7 @@ def passage_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage are relevant to its topic."""
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"))
     docs = benchmark_corpus(table(spark, sf_dir, "documents"))
-    return docs.join(bounded(passages, 5_000), F.col("text").contains(F.col("passage"))).select("qid", "docno", F.lit(2).alias("relevance"))
+    return containing(docs, passages).select("qid", "docno", F.lit(2).alias("relevance"))
 
 
 CTE = f"""WITH docs AS (SELECT CAST(doc_id AS VARCHAR) AS docno, text, {WORDS} AS t FROM documents),
@@ -48,17 +48,12 @@ qrels AS (SELECT qid, docno, 2 AS relevance FROM docs, topics WHERE contains(doc
 def runs(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """BM25 and plain term counts as two systems."""
     corpus, asked = benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir)
-    first = bm25(corpus, asked, k).withColumn("system", F.lit("bm25"))
-    second = term_counts(corpus, asked, k).withColumn("system", F.lit("tf"))
+    index = term_index(corpus, asked)
+    first = bm25(corpus, asked, k, index=index).withColumn("system", F.lit("bm25"))
+    second = term_counts(corpus, asked, k, index).withColumn("system", F.lit("tf"))
     return first.unionByName(second)
 
 
-def term_counts(corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    q = asked.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    tf = corpus.select("docno", F.explode(tokens(F.col("text"))).alias("term")).join(bounded(q), "term")
-    return top_k(tf.groupBy("qid", "docno").agg(F.sum("qtf").cast("double").alias("score")), k)
-
-
 METRIC_SQL = """,
 run AS (SELECT * FROM ranked WHERE rank < 10),
 ideal AS (SELECT qid, sum(CASE WHEN i < 5 THEN relevance / log2(i + 2) ELSE 0 END) AS idcg_5, sum(CASE WHEN i < 10 THEN relevance / log2(i + 2) ELSE 0 END) AS idcg_10, count(*) AS n_rel
@@ -82,6 +77,28 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir), 10)
 
 
+@query(CTE + " SELECT qid, docno, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE system = 'bm25' AND rank < 100")
+def bm25_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual depth of a first stage."""
+    return bm25(benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir), 100)
+
+
+@query(CTE + " SELECT (SELECT count(*) FROM topics) AS topics, count(*) AS pairs, round(count(*) / (SELECT count(*) FROM topics), 6) AS mean_pool FROM (SELECT DISTINCT qid, docno FROM ranked WHERE rank < 5)")
+def mean_pool_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-5 pool of both systems: pairs a topic."""
+    r = runs(spark, sf_dir)
+    return mean_pool(pool([r.where("system = 'bm25'"), r.where("system = 'tf'")], 5), topics(spark, sf_dir))
+
+
+@query(CTE + """, a AS (SELECT qid, docno, CASE WHEN rank < 3 THEN 2 ELSE 1 END AS relevance FROM ranked WHERE system = 'bm25' AND rank < 10), b AS (SELECT qid, docno, CASE WHEN rank < 3 THEN 2 ELSE 1 END AS relevance FROM ranked WHERE system = 'tf' AND rank < 10)
+SELECT a.relevance AS a, b.relevance AS b, count(*) AS n FROM a JOIN b USING (qid, docno) GROUP BY ALL""")
+def joined_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of judgements, read off the two systems' ranks, joined by topic and document."""
+    grade = F.when(F.col("rank") < 3, 2).otherwise(1).alias("relevance")
+    r = runs(spark, sf_dir).select("system", "qid", "docno", grade)
+    return joined_grades(r.where("system = 'bm25'"), r.where("system = 'tf'")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 @query(CTE + METRIC_SQL + " SELECT system, qid, round(ndcg_5, 6) AS ndcg_5, round(ndcg_10, 6) AS ndcg_10, round(ap, 6) AS ap, round(recall, 6) AS recall FROM scores")
 def per_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = per_query(runs(spark, sf_dir), passage_qrels(spark, sf_dir))
@@ -126,8 +143,7 @@ GRADE = "CASE WHEN len(q) = 0 THEN 0 WHEN s >= 0.9 THEN 3 WHEN s >= 0.6 THEN 2 W
 @query(CTE + f" SELECT qid, {GRADE} AS relevance, count(*) AS n FROM (SELECT qid, list_distinct(q) AS q, len(list_intersect(list_distinct(q), t)) / len(list_distinct(q)) AS s FROM docs, topics) GROUP BY ALL")
 def judged_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every topic with every document, graded; counts by topic and grade."""
-    j = judge_all(topics(spark, sf_dir), benchmark_corpus(table(spark, sf_dir, "documents")))
-    return j.groupBy("qid", "relevance").agg(F.count("*").alias("n"))
+    return lexical_counts(topics(spark, sf_dir), benchmark_corpus(table(spark, sf_dir, "documents")))
 
 
 @query(CTE + " SELECT qid, q.docno, relevance, len(t) AS n_tokens FROM qrels q JOIN topics USING (qid) JOIN docs ON docs.docno = q.docno")
