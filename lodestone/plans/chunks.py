@@ -88,16 +88,29 @@ def _count(pattern: str, more: str = "") -> str:
 LINES = "list_filter(list_transform(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
 
 
+#: Lines put behind the documents, as these hold no code.
+CODE_LINES = "def f(x):\n    return x\n\nclass Item(Base):\n    @cached\n    def get(self):\n        print(self.x)\nimport os\nfrom a import b\nvalue = f(1)\n{1: 2}"
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, two thirds of them with lines of code: behind the text, or instead of it."""
+    kind, t = F.col("doc_id") % 3, F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 0, F.concat(t, F.lit("\n" + CODE_LINES))).when(kind == 1, F.concat(F.lit(CODE_LINES + "\nn = "), F.col("doc_id").cast("string"))).otherwise(t).alias("text"))
+
+
+CODED = f"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || '{CODE_LINES}' WHEN 1 THEN '{CODE_LINES}' || chr(10) || 'n = ' || doc_id ELSE text END AS text FROM documents)"
+
+
 @query(
     f"""SELECT doc_id, CAST(formatted AS INTEGER) AS formatted, CAST(fenced AS INTEGER) AS fenced, NOT (formatted > 1 AND fenced = 0) AS actual,
 CASE WHEN length(trim(text)) >= 50 THEN (bare >= 2 AND prose <= bare // 2) OR (n <= 3 AND bare >= 1 AND prose = 0) ELSE FALSE END AS block,
 NOT (formatted > 1 AND fenced = 0) AND (executable >= 2 OR (executable >= 1 AND n <= 3)) AS executable
 FROM (SELECT doc_id, text, len(l) AS n, {_count(_re2(T.FORMATTED, "i"))} AS formatted, {_count(_re2(T.FENCED_CODE))} AS fenced, {_count(_re2(T.BARE_CODE))} AS bare,
-  {_count(_re2(T.PROSE, "i"), "length(x) > 20 AND ")} AS prose, {_count(_re2(T.EXECUTABLE), "NOT starts_with(x, '#') AND ")} AS executable FROM (SELECT doc_id, text, {LINES} AS l FROM documents))"""
+  {_count(_re2(T.PROSE, "i"), "length(x) > 20 AND ")} AS prose, {_count(_re2(T.EXECUTABLE), "NOT starts_with(x, '#') AND ")} AS executable FROM (SELECT doc_id, text, {LINES} AS l FROM {CODED}))"""
 )
 def code_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatted text, code and executable code, by the lines of each document."""
-    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    d, t = coded(spark, sf_dir), F.col("text")
     return d.select("doc_id", T.formatted_lines(t).alias("formatted"), T.fenced_code_lines(t).alias("fenced"), T.is_actual_code(t).alias("actual"), T.looks_like_code_block(t).alias("block"), T.looks_executable(t).alias("executable"))
 
 
@@ -221,18 +234,28 @@ def similar_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join("similar_files", ",").alias("similar_files"), "total_similar_files")
 
 
+#: Names and lines put in, as parts and documents hold none that count.
+USED = {1: "from llama_index import core", 2: "class Team(groupchat.Base):", 3: "import pipeline"}
+
+
 @query(
-    "WITH "
+    "WITH packages AS (SELECT CASE WHEN p_partkey % 100 = 3 THEN p_name || ' LangChain-core' ELSE p_name END AS p_name FROM part), used AS (SELECT text || CASE doc_id % 40 "
+    + " ".join(f"WHEN {i} THEN chr(10) || '{x}'" for i, x in USED.items())
+    + " ELSE '' END AS text FROM documents), "
     + "hits AS ("
     + " UNION ALL ".join(
-        f"SELECT '{n}' AS framework, (SELECT bool_or({' OR '.join(f"contains(lower(p_name), '{w}')" for w in ws)}) FROM part) AS d, (SELECT bool_or({' OR '.join(f"contains(lower(text), 'import {w}') OR contains(lower(text), 'from {w}') OR regexp_matches(lower(text), 'class.*{w}')" for w in ws)}) FROM documents) AS u"
+        f"SELECT '{n}' AS framework, (SELECT bool_or({' OR '.join(f"contains(lower(p_name), '{w}')" for w in ws)}) FROM packages) AS d, (SELECT bool_or({' OR '.join(f"contains(lower(text), 'import {w}') OR contains(lower(text), 'from {w}') OR regexp_matches(lower(text), 'class.*{w}')" for w in ws)}) FROM used) AS u"
         for n, ws in AGENTIC.items()
     )
     + ") SELECT framework, CASE WHEN d THEN 'dependency' ELSE 'usage' END AS how FROM hits WHERE d OR u"
 )
 def frameworks_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frameworks by package name or by use in a text."""
-    return framework_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "part").select(F.col("p_name").alias("package")))
+    more = F.lit("")
+    for i, x in USED.items():
+        more = F.when(F.col("doc_id") % 40 == i, F.lit(f"\n{x}")).otherwise(more)
+    package = F.when(F.col("p_partkey") % 100 == 3, F.concat("p_name", F.lit(" LangChain-core"))).otherwise(F.col("p_name"))
+    return framework_hits(table(spark, sf_dir, "documents").select(F.concat("text", more).alias("text")), table(spark, sf_dir, "part").select(package.alias("package")))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,16 +282,54 @@ def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("file_path", "chunk_type", F.col("ast.name").alias("name"), F.col("hierarchy.depth").alias("depth"), F.col("span.start_line").alias("start_line"), F.col("span.end_line").alias("end_line"), "code")
 
 
-@query("SELECT 'module' AS chunk_type, 'python' AS language, count(*) AS n FROM supplier UNION ALL SELECT unnest(['class', 'method', 'function']), 'python', count(*) FROM supplier UNION ALL SELECT 'text', 'text', count(*) FROM documents WHERE len(string_split(text, chr(10))) <= 200")
+#: Files of the other routes, by the supplier's number modulo 10: name, content, and the chunk that comes of it.
+ROUTED = (
+    (".yaml", b"k: v\n", "configuration", "yaml"),
+    (".toml", b"[a]\nb = 1\n", "configuration", "toml"),
+    (".json", b'{"a": {"b": 1}}', "configuration", "json"),
+    (".json", b"{no json", "text", "text"),
+    ("/requirements.txt", b"a==1\n# b\nc>=2\n", "configuration", "requirements"),
+    ("/Dockerfile", b"FROM x\n", "script", "dockerfile"),
+    ("/LICENSE", b"Use it.\n", "documentation", "text"),
+    ("/README", b"Read it.\n", "documentation", "text"),
+    (".md", b"## Title\nSome words of prose.\n", "documentation", "markdown"),
+    (".bin", bytes(range(1, 9)) * 9, None, None),
+)
+
+
+@query(
+    "SELECT chunk_type, language, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'module' AS chunk_type, 'python' AS language, count(*) AS n FROM supplier UNION ALL SELECT unnest(['class', 'method', 'function']), 'python', count(*) FROM supplier"
+    " UNION ALL SELECT 'text', 'text', sum(CASE WHEN len(l) <= 200 THEN 1 ELSE ceil(len(l) / 100) END) FROM (SELECT string_split(text, chr(10)) AS l FROM documents) UNION ALL SELECT "
+    + ", ".join("CASE s_suppkey % 10 " + " ".join(f"WHEN {i} THEN '{r[k]}'" for i, r in enumerate(ROUTED) if r[k]) + f" END AS {name}" for k, name in ((2, "chunk_type"), (3, "language")))
+    + ", count(*) FROM supplier WHERE s_suppkey % 10 < 9 GROUP BY ALL) GROUP BY ALL"
+)
 def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All routes over sources and texts of up to 200 lines, by type and language."""
-    docs = table(spark, sf_dir, "documents").where(F.size(T.split_newlines("text")) <= 200)
+    """All routes over sources, whole texts and small files of every kind, by type and language."""
+    docs = table(spark, sf_dir, "documents")
     files = sources(spark, sf_dir).union(docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.encode("text", "UTF-8")))
+    k = F.col("s_suppkey")
+    name = F.get(F.array(*(F.lit(r[0]) for r in ROUTED)), (k % 10).cast("int"))
+    content = F.get(F.array(*(F.lit(r[1]) for r in ROUTED)), (k % 10).cast("int"))
+    files = files.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("x/m"), k.cast("string"), name), content))
     return chunk_files(files).groupBy("chunk_type", "language").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS newlines, regexp_matches(text, '(?i)def.*tool|class.*Agent|@tool|@agent') AS agentic FROM documents")
+#: Lines put behind the documents, by doc_id modulo their number: one for each pattern of agents, some that are near misses, and NULs.
+AGENT_LINES = ("class MyAgent:", "def run_agent(x):", "class WebTool(Base):", "def make_tool():", "class MyWorkflow:", "def a_workflow():", "CLASS ORCHESTRATOR", "def orchestrator():", "@tool", "@Agent", "@workflow", "class Plain:", "agent tool workflow", "a\x00b", "def\nagent", "\x00")
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("\x00", "' || chr(0) || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    f"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS newlines, length(replace(text, chr(0), '')) AS chars, regexp_matches(replace(text, chr(0), ''), '(?i){'|'.join(T.AGENT_PATTERNS)}') AS agentic FROM (SELECT doc_id, text || chr(10) || CASE doc_id % {len(AGENT_LINES)} "
+    + " ".join(f"WHEN {i} THEN {_sql_text(x)}" for i, x in enumerate(AGENT_LINES))
+    + " END AS text FROM documents)"
+)
 def agentic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent-like definitions in texts; NULs are taken out before lengths are."""
+    line = F.get(F.array(*(F.lit(x) for x in AGENT_LINES)), (F.col("doc_id") % len(AGENT_LINES)).cast("int"))
     t = T.without_nul("text")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("newlines"), T.agent_patterns(t).alias("agentic"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), line).alias("text"))
+    return d.select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("newlines"), F.length(t).cast("long").alias("chars"), T.agent_patterns(t).alias("agentic"))

@@ -157,11 +157,11 @@ def qrels_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
 
 
-@query(f"WITH {VECTORS} SELECT * FROM (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(d.vec_id AS VARCHAR) AS docno, round(list_dot_product(q.e, d.e), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, CAST(d.vec_id AS VARCHAR)) - 1 AS INTEGER) AS rank FROM v q, v d WHERE q.vec_id % 50 = 0) WHERE rank < 10")
+@query(f"WITH {VECTORS} SELECT * FROM (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(d.vec_id AS VARCHAR) AS docno, round(list_dot_product(q.e, d.e), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, CAST(d.vec_id AS VARCHAR)) - 1 AS INTEGER) AS rank FROM v q, v d WHERE q.vec_id % 20 = 0) WHERE rank < 10")
 def dense_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exhaustive dense retrieval: every fiftieth vector is a stated topic."""
+    """Exhaustive dense retrieval: every twentieth vector is a stated topic."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("docno"), F.col("embedding").alias("vector"))
-    return dense(e.drop("vec_id"), e.where("vec_id % 50 = 0").select(F.col("docno").alias("qid"), "vector"), 10)
+    return dense(e.drop("vec_id"), e.where("vec_id % 20 = 0").select(F.col("docno").alias("qid"), "vector"), 10)
 
 
 DIMS = (8, 16, 32, 64)
@@ -169,7 +169,7 @@ DIMS = (8, 16, 32, 64)
 
 def sweep_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").cast("string").alias("docno"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id % 50 = 0")
+    asked = e.where("vec_id % 20 = 0")
     run = dense(e.select("docno", "vector"), asked.select(F.col("docno").alias("qid"), "vector"), 10, DIMS)
     qrels = e.select("docno", "label").join(bounded(asked.select(F.col("docno").alias("qid"), "label")), "label").select("qid", "docno", F.lit(1).alias("relevance"))
     return run.withColumn("system", F.col("dim").cast("string")), qrels
@@ -178,8 +178,8 @@ def sweep_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     f"""WITH {VECTORS}, dims AS (SELECT unnest([8, 16, 32, 64]) AS dim),
 run AS (SELECT * FROM (SELECT CAST(dim AS VARCHAR) AS system, CAST(q.vec_id AS VARCHAR) AS qid, CAST(d.vec_id AS VARCHAR) AS docno, q.label = d.label AS hit,
-  row_number() OVER (PARTITION BY dim, q.vec_id ORDER BY round(list_dot_product(q.e[1:dim], d.e[1:dim]), 6) DESC, CAST(d.vec_id AS VARCHAR)) - 1 AS rank FROM v q, v d, dims WHERE q.vec_id % 50 = 0) WHERE rank < 10),
-n AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, count(*) AS n_rel FROM v q JOIN v d USING (label) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+  row_number() OVER (PARTITION BY dim, q.vec_id ORDER BY round(list_dot_product(q.e[1:dim], d.e[1:dim]), 6) DESC, CAST(d.vec_id AS VARCHAR)) - 1 AS rank FROM v q, v d, dims WHERE q.vec_id % 20 = 0) WHERE rank < 10),
+n AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, count(*) AS n_rel FROM v q JOIN v d USING (label) WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 s AS (SELECT system, qid, max(CASE WHEN hit AND rank < 1 THEN 1 ELSE 0 END) AS a1, sum(CASE WHEN hit AND rank < 3 THEN 1 ELSE 0 END) AS f3, sum(CASE WHEN hit AND rank < 5 THEN 1 ELSE 0 END) AS f5,
   coalesce(1 / (min(CASE WHEN hit THEN rank END) + 1), 0) AS mrr, sum(CASE WHEN hit THEN 1 / log2(rank + 2) ELSE 0 END) AS dcg FROM run GROUP BY ALL),
 i AS (SELECT qid, sum(1 / log2(k + 2)) AS idcg FROM n, LATERAL (SELECT unnest(range(least(10, n_rel))) AS k) GROUP BY qid)
@@ -200,12 +200,12 @@ def cut_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "a").select("a", "b", F.round(cosine(cut(F.col("x"), 16), cut(F.col("y"), 16)), 6).alias("cosine_16"), F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine_64"))
 
 
-@query(f"WITH {VECTORS}, q AS (SELECT * FROM v WHERE vec_id % 100 = 0) SELECT q.vec_id AS q, d.vec_id AS d, round(greatest(list_dot_product(q.e[1:32], d.e[1:32]), list_dot_product(q.e[1:32], d.e[33:64])) + greatest(list_dot_product(q.e[33:64], d.e[1:32]), list_dot_product(q.e[33:64], d.e[33:64])), 6) AS score FROM q, v d WHERE d.vec_id % 7 = q.vec_id % 7")
+@query(f"WITH {VECTORS}, q AS (SELECT * FROM v WHERE vec_id % 20 = 0) SELECT q.vec_id AS q, d.vec_id AS d, round(greatest(list_dot_product(q.e[1:32], d.e[1:32]), list_dot_product(q.e[1:32], d.e[33:64])) + greatest(list_dot_product(q.e[33:64], d.e[1:32]), list_dot_product(q.e[33:64], d.e[33:64])), 6) AS score FROM q, v d")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MaxSim of rows read as two half-length vectors each, over rows of the same residue."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("m"), (F.col("vec_id") % 7).alias("r"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("m").alias("qm"), "r")
-    return e.join(bounded(q), "r").select("q", F.col("vec_id").alias("d"), F.round(max_sim(F.col("qm"), F.col("m")), 6).alias("score"))
+    """MaxSim of rows read as two half-length vectors each: every twentieth row against all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("m"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("m").alias("qm"))
+    return e.join(bounded(q), how="cross").select("q", F.col("vec_id").alias("d"), F.round(max_sim(F.col("qm"), F.col("m")), 6).alias("score"))
 
 
 GRADES = """g AS (SELECT quality AS a, CASE WHEN n_chars >= 3000 THEN 1 WHEN n_chars >= 800 THEN 1 ELSE 0 END AS b, CASE WHEN n_chars >= 5000 THEN 3 WHEN n_chars >= 2000 THEN 2 WHEN n_chars >= 500 THEN 1 ELSE 0 END AS c, quality * 2 + toxic AS d

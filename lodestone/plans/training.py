@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.questions import KEYWORDS, TEMPLATES, category, description, keywords, question
 from ..operators.joins import bounded
-from ..operators.pairs import dense_ids, draw, flat_pairs, keep_first, negatives, positive_pairs, relevant_documents, sample, split, stratified, triplets, valid_chunks
+from ..operators.pairs import dense_ids, draw, flat_pairs, keep_first, negatives, positive_pairs, relevant_classes, relevant_documents, sample, split, stratified, triplets, valid_chunks
 from ..sources.tables import table
 from ..streaming.chunking import event_counts
 from .chunks import PARTS, _sha, parts
@@ -128,12 +128,18 @@ def distinct_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(p, "q", "place")
 
 
-@query("SELECT CAST(q.doc_id AS VARCHAR) AS qid, array_to_string(list_sort(list(DISTINCT CAST(d.doc_id AS VARCHAR))), ',') AS docnos FROM documents q JOIN documents d ON d.text = q.text WHERE q.doc_id % 10 = 0 GROUP BY q.doc_id")
+@query("SELECT docno, min(docno) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS copies FROM (SELECT CAST(doc_id AS VARCHAR) AS docno, text FROM documents)")
 def relevant_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every tenth document the documents of the same text."""
-    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("document_id"), F.col("doc_id").cast("string").alias("docno"), "doc_id")
-    q = d.where("doc_id % 10 = 0").select("document_id", F.col("docno").alias("qid"))
-    return relevant_documents(q, d).select("qid", F.array_join("docnos", ",").alias("docnos"))
+    """Every document with the class of its text: the first that has it, and how many have."""
+    return relevant_classes(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("document_id"), F.col("doc_id").cast("string").alias("docno")))
+
+
+@query("SELECT q.conv_id, CAST(count(*) AS BIGINT) AS turns, array_to_string(list_sort(list(DISTINCT CAST(d.turn AS VARCHAR))), ',') AS docnos FROM (SELECT DISTINCT conv_id FROM conversations) q JOIN conversations d USING (conv_id) GROUP BY q.conv_id")
+def relevant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each conversation all turns of it, as the relevant documents of a query."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("docno"), "conv_id")
+    found = relevant_documents(c.select("document_id", F.col("conv_id").alias("qid")).distinct(), c)
+    return found.join(c.groupBy(F.col("conv_id").alias("qid")).agg(F.count("*").alias("turns")), "qid").select(F.col("qid").alias("conv_id"), "turns", F.array_join("docnos", ",").alias("docnos"))
 
 
 @query("SELECT doc_id, sha256('7:' || doc_id || ':' || lang) AS place FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)")
