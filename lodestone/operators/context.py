@@ -24,4 +24,4 @@ def cross_file_context(chunks: DataFrame, path: str = "file_path", repo: str | N
     else:
         joined = chunks.join(few, repo, "left")
     others = F.col("_n") - F.when(F.col(path).isNotNull(), 1).otherwise(0)
-    return joined.withColumn("similar_files", F.when(others > 0, F.slice(F.array_remove("_first", F.col(path)), 1, most))).withColumn("total_similar_files", F.when(others > 0, others)).drop("_n", "_first")
+    return joined.withColumn("similar_files", F.when(others > 0, F.slice(F.coalesce(F.array_remove("_first", F.col(path)), "_first"), 1, most))).withColumn("total_similar_files", F.when(others > 0, others)).drop("_n", "_first")
