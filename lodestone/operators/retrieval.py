@@ -152,9 +152,9 @@ def containing(corpus: DataFrame, passages: DataFrame, words: int = 4) -> DataFr
     """
     cut = passages.where("passage <> ''").withColumn("t", tokens(F.col("passage")))
     long = F.size("t") >= words + 2
-    anchored = cut.where(long).select("qid", "passage", F.xxhash64(F.array_join(F.slice("t", 2, words), " ")).alias("anchor"))
+    anchored = cut.where(long).select("qid", "passage", F.xxhash64(F.slice("t", 2, words)).alias("anchor"))
     t = corpus.where("text is not null").withColumn("t", tokens(F.col("text")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("t") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(words)), " ")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - words + 1), lambda i: F.xxhash64(F.slice("t", i, F.lit(words))))
     placed = t.where(F.size("t") >= words).select("docno", F.explode(F.array_distinct(runs)).alias("anchor"))
     met = placed.join(bounded(anchored.select("qid", "anchor")), "anchor").select("docno", "qid").distinct()
     found = met.join(corpus, "docno").join(bounded(anchored.select("qid", "passage")), "qid").where(F.col("text").contains(F.col("passage")))

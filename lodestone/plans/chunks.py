@@ -14,7 +14,7 @@ from ..operators.chunk_python import chunk_python, line_spans
 from ..operators.context import cross_file_context
 from ..operators.repo_metadata import AGENTIC, framework_hits
 from ..operators.stats import dataset_metadata, dataset_summary, distributions, listing_stats, top_suffixes
-from ..sources.tables import table
+from ..sources.tables import table, texts
 from .register import query
 
 WINDOW = 4
@@ -30,7 +30,7 @@ FROM (SELECT *, unnest(range(CASE WHEN len(l) <= {2 * WINDOW} THEN 1 ELSE CAST(c
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text chunks of the documents with a window of four lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "lang", "source", "text")
     return text_chunks(docs, small=2 * WINDOW, window=WINDOW)
 
 
@@ -95,7 +95,7 @@ CODE_LINES = "def f(x):\n    return x\n\nclass Item(Base):\n    @cached\n    def
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, two thirds of them with lines of code: behind the text, or instead of it."""
     kind, t = F.col("doc_id") % 3, F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 0, F.concat(t, F.lit("\n" + CODE_LINES))).when(kind == 1, F.concat(F.lit(CODE_LINES + "\nn = "), F.col("doc_id").cast("string"))).otherwise(t).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.when(kind == 0, F.concat(t, F.lit("\n" + CODE_LINES))).when(kind == 1, F.concat(F.lit(CODE_LINES + "\nn = "), F.col("doc_id").cast("string"))).otherwise(t).alias("text"))
 
 
 CODED = f"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || '{CODE_LINES}' WHEN 1 THEN '{CODE_LINES}' || chr(10) || 'n = ' || doc_id ELSE text END AS text FROM documents)"
@@ -192,7 +192,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag = tag.when(i % 7 == 1, F.concat(F.lit("## "), F.trim(F.substring(x, 1, 12)))).when(i % 7 == 3, F.concat(F.lit("#### "), F.trim(F.substring(x, 1, 8)))).when(i % 7 == 5, F.concat(F.lit("### t"), i.cast("string")))
         return F.coalesce(tag, x)
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(lines, mark), "\n").alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(F.transform(lines, mark), "\n").alias("text"))
 
 
 MARKDOWN = r"""ls AS (SELECT doc_id, i, CASE WHEN i % 11 = 4 THEN '```python' WHEN i % 11 = 6 THEN '```' WHEN i % 7 = 1 THEN '## ' || trim(substr(x, 1, 12)) WHEN i % 7 = 3 THEN '#### ' || trim(substr(x, 1, 8)) WHEN i % 7 = 5 THEN '### t' || i ELSE x END AS x
@@ -305,7 +305,7 @@ ROUTED = (
 )
 def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All routes over sources, whole texts and small files of every kind, by type and language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     files = sources(spark, sf_dir).union(docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.encode("text", "UTF-8")))
     k = F.col("s_suppkey")
     name = F.get(F.array(*(F.lit(r[0]) for r in ROUTED)), (k % 10).cast("int"))

@@ -13,7 +13,7 @@ from ..operators.metrics import BINARY_METRICS, METRICS, against_baseline, leade
 from ..operators.pairs import keep_first
 from ..operators.retrieval import bm25, containing, dense, lexical_counts, lexical_grade, mean_pool, pool, pool_texts, term_counts, term_index, tokens
 from ..operators.stats import row_mean, value_counts
-from ..sources.tables import benchmark_corpus, table
+from ..sources.tables import benchmark_corpus, table, texts
 from .register import query
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -27,7 +27,7 @@ def topics(spark: SparkSession, sf_dir: str, words: int = 12) -> DataFrame:
 def passage_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage are relevant to its topic."""
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("passage"))
-    docs = benchmark_corpus(table(spark, sf_dir, "documents"))
+    docs = benchmark_corpus(texts(spark, sf_dir))
     return containing(docs, passages).select("qid", "docno", F.lit(2).alias("relevance"))
 
 
@@ -47,7 +47,7 @@ qrels AS (SELECT qid, docno, 2 AS relevance FROM docs, topics WHERE contains(doc
 
 def runs(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """BM25 and plain term counts as two systems."""
-    corpus, asked = benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir)
+    corpus, asked = benchmark_corpus(texts(spark, sf_dir)), topics(spark, sf_dir)
     index = term_index(corpus, asked)
     first = bm25(corpus, asked, k, index=index).withColumn("system", F.lit("bm25"))
     second = term_counts(corpus, asked, k, index).withColumn("system", F.lit("tf"))
@@ -74,13 +74,13 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CTE + " SELECT qid, docno, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE system = 'bm25' AND rank < 10")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir), 10)
+    return bm25(benchmark_corpus(texts(spark, sf_dir)), topics(spark, sf_dir), 10)
 
 
 @query(CTE + " SELECT qid, docno, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE system = 'bm25' AND rank < 100")
 def bm25_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usual depth of a first stage."""
-    return bm25(benchmark_corpus(table(spark, sf_dir, "documents")), topics(spark, sf_dir), 100)
+    return bm25(benchmark_corpus(texts(spark, sf_dir)), topics(spark, sf_dir), 100)
 
 
 @query(CTE + " SELECT (SELECT count(*) FROM topics) AS topics, count(*) AS pairs, round(count(*) / (SELECT count(*) FROM topics), 6) AS mean_pool FROM (SELECT DISTINCT qid, docno FROM ranked WHERE rank < 5)")
@@ -133,7 +133,7 @@ def pooled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth-5 pool of both systems with texts, by topic."""
     r, asked = runs(spark, sf_dir), topics(spark, sf_dir)
     p = pool([r.where("system = 'bm25'"), r.where("system = 'tf'")], 5)
-    n = pool_texts(p, benchmark_corpus(table(spark, sf_dir, "documents")), asked).groupBy("qid").agg(F.count("*").alias("pooled"))
+    n = pool_texts(p, benchmark_corpus(texts(spark, sf_dir)), asked).groupBy("qid").agg(F.count("*").alias("pooled"))
     return n.join(F.broadcast(asked.agg(F.count("*").alias("all"))), how="cross").select("qid", "pooled", F.round(F.col("pooled") / F.col("all"), 6).alias("share"))
 
 
@@ -143,13 +143,13 @@ GRADE = "CASE WHEN len(q) = 0 THEN 0 WHEN s >= 0.9 THEN 3 WHEN s >= 0.6 THEN 2 W
 @query(CTE + f" SELECT qid, {GRADE} AS relevance, count(*) AS n FROM (SELECT qid, list_distinct(q) AS q, len(list_intersect(list_distinct(q), t)) / len(list_distinct(q)) AS s FROM docs, topics) GROUP BY ALL")
 def judged_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every topic with every document, graded; counts by topic and grade."""
-    return lexical_counts(topics(spark, sf_dir), benchmark_corpus(table(spark, sf_dir, "documents")))
+    return lexical_counts(topics(spark, sf_dir), benchmark_corpus(texts(spark, sf_dir)))
 
 
 @query(CTE + " SELECT qid, q.docno, relevance, len(t) AS n_tokens FROM qrels q JOIN topics USING (qid) JOIN docs ON docs.docno = q.docno")
 def qrels_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements with their queries and documents."""
-    docs = benchmark_corpus(table(spark, sf_dir, "documents"))
+    docs = benchmark_corpus(texts(spark, sf_dir))
     q = passage_qrels(spark, sf_dir).join(bounded(topics(spark, sf_dir)), "qid").join(docs, "docno")
     return q.select("qid", "docno", "relevance", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
 

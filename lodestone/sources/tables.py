@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, dealt anew if it has fewer tasks than there are cores, as that of one small file has; else as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def benchmark_corpus(docs: DataFrame, language: str | None = None) -> DataFrame:
     """(docno, text), filtered by language at the scan."""
     d = docs.where(F.col("lang") == language) if language else docs
