@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import texts
 from .common import fresh
 
 UNKNOWN = "und"
@@ -245,4 +246,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(texts(spark, sf_dir))

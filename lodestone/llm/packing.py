@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import texts
 from .common import written
 from .tokens import encoder
 
@@ -127,4 +128,4 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, vocabulary: str | None
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(texts(spark, sf_dir))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import texts
 from .language_id import held_out
 
 STATISTICS = ("log_words", "word_length", "distinct", "top_word", "repeats", "upper", "digits", "marks", "bangs", "bars", "symbols", "spaces", "high_bytes", "capital_words", "long_words", "marked_words", "repeated_lines", "line_words", "entropy")
@@ -188,4 +189,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(texts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

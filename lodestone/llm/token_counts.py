@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import texts
 from .common import written
 from .tokens import lengths
 
@@ -51,4 +52,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_counts(texts(spark, sf_dir))
