@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch, written
 
-__all__ = ["components", "fresh", "partitions", "scratch", "written"]
+__all__ = ["components", "forest", "fresh", "partitions", "scratch", "written"]
 
 
 def fresh(name: str, *taken: list[str]) -> str:
@@ -22,6 +23,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer pairs that join the same rows: each row with the smallest id of its group."""
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    more = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[more]], ids[more]
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``; component is the smallest id that links reach.
 

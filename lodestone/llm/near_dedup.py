@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, written
+from .common import components, forest, fresh, written
 from .windows import ANSWER, REQUEST, ROW_BITS, Batch, Ranks, Spec, U, asked, bucket_count, doubled, mix, packed, ranges, ranked, rest_of, with_answers
 
 COPIES, BANDS, KEYS, GONE = 1, 2, 3, 4
@@ -217,13 +217,13 @@ def shared(features: list[np.ndarray], left: np.ndarray, right: np.ndarray, widt
 
 
 def crossing(t: pa.Table, threshold: float) -> pa.Table:
-    """Components of similar pairs in one tile of each band of ``t``, where they differ."""
+    """Components of similar pairs in one tile of each band of ``t``, where they differ; as many as join the same ones."""
     t = t.sort_by([("key", "ascending"), ("row", "ascending")])
     key, component, own = (t[c].to_numpy() for c in ("key", "component", "own"))
     features = [np.frombuffer(f, np.uint64) for f in t["features"].to_pylist()]
     size = np.array([len(f) for f in features])
     i, j = int(t["i"][0].as_py()), int(t["j"][0].as_py())
-    found = []
+    found, parts = [], np.unique(component)
     cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
     for s, e in zip(cut[:-1], cut[1:], strict=True):
         left, right = s + np.flatnonzero(own[s:e] == i), s + np.flatnonzero(own[s:e] == j)
@@ -232,9 +232,10 @@ def crossing(t: pa.Table, threshold: float) -> pa.Table:
         both = shared(features, left, right)
         fits = (both >= threshold * (size[left][:, None] + size[right][None] - both)) & (component[left][:, None] != component[right][None])
         x, y = np.nonzero(fits)
-        found.append(np.unique(np.sort(np.c_[component[left[x]], component[right[y]]], axis=1), axis=0))
-    links = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+        found.append((np.searchsorted(parts, component[left[x]]), np.searchsorted(parts, component[right[y]])))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(f[n] for f in found)]) for n in (0, 1))
+    a, b = forest(parts, x, y)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def similar(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:

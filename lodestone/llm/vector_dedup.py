@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, forest, written
 from .vectors import codes, matrix, quantised, usable
 
 TILE = 1024
@@ -49,21 +49,6 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer pairs that join the same rows: each row with the smallest id of its group."""
-    label = np.arange(len(ids))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    more = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[more]], ids[more]
-
-
 def decided(t: pa.Table, left: np.ndarray, right: np.ndarray, cosine: float):
     """(rows of ``left``, surely linked, perhaps linked) of these rows with ``right``, some rows at a time."""
     code, scale, rest, stands = codes(t["code"].take(pa.array(np.r_[left, right])), np.int16).astype(np.float64), *(t[c].to_numpy() for c in ("scale", "rest", "stands"))
