@@ -95,7 +95,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
         placed = df.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
         return placed.select("dim", "block", F.col("own_id").alias("id"), "v").groupBy("dim", "block").applyInArrow(pack, PACK)
 
-    some, asked = usable_rows(vectors, "candidates"), usable_rows(queries, "queries")
+    some, asked = usable_rows(vectors, "rows"), usable_rows(queries, "queries")
+    # Of equal vectors no query needs more than those of the k + 1 smallest ids, its own among them, and k rows of each
+    of_id = Window.partitionBy("v", "own_id").orderBy("row")
+    of_vector = Window.partitionBy("v").orderBy("own_id")
+    some = some.withColumn("n", F.row_number().over(of_id)).where(F.col("n") <= k).withColumn("n", F.dense_rank().over(of_vector)).where(F.col("n") <= k + 1)
+    some = written(some.drop("n"), "candidates")
     count, widest = some.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     fewer = max(1, -(-widest // 64))
     n_blocks, n_queries = max(1, -(-count * fewer // block)), max(1, -(-asked.count() * fewer // query_block))

@@ -248,7 +248,7 @@ def test_vectors_of_odd_ids(spark):
 def test_nearest_over_many_tiles(spark):
     r = np.random.default_rng(9)
     v = r.normal(size=(900, 16)) * r.uniform(0.1, 3, size=(900, 1))
-    v[500:520] = v[3]
+    v[500:700] = v[3]  # more copies than places
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got: dict[int, list] = {}
     for x in nearest(df, df.where("vec_id % 20 = 0"), k=10, query_block=16, block=128).orderBy("query_id", "rank").collect():
