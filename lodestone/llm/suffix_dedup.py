@@ -1,10 +1,10 @@
 """Operator 1: byte strings that repeat across documents are cut from all but the earliest of them.
 
-Method: distributed prefix doubling. Names of 1, 2, 4, ... bytes are paired into names of k
-bytes; Spark sorts the names of picked positions and ranks them across the corpus (smallest
-document, count); positions whose name is unique leave, the rest go on with longer names until
-past the threshold. See ``windows`` for how positions are picked, so that every window of the
-threshold's length is still judged exactly.
+Method: not prefix doubling of rank pairs (the README says why, with figures), but ranking of hashed
+names in three rounds: of picked positions, of whole segments with one pick, of single windows of the
+threshold's length. Spark deals names by range, and each range is sorted and ranked (smallest
+document, count) in one group; what is unique leaves, the rest goes on with longer names. See
+``windows`` for how positions are picked, so that every window is judged, by names of 96 bits.
 """
 
 from __future__ import annotations
