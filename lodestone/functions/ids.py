@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def _shown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def id_payload(path: Column, kind: Column, name: Column, parent: Column, start: Column, end: Column, code: Column) -> Column:
-    """What the id of a chunk hashes: nine fields on lines indented by four, the two byte fields always None, stripped at both ends."""
+def id_payload(path: Column, kind: Column, name: Column, parent: Column, start: Column, end: Column, code: Column, stripped: Callable[[Column], Column] = strip) -> Column:
+    """What the id of a chunk hashes: nine fields on lines indented by four, the two byte fields always None, ``stripped`` at both ends."""
     none = F.lit(None).cast("string")
-    return strip(F.concat_ws("\n    ", F.lit(""), *(_shown(c) for c in (path, kind, name, parent, start, end, none, none, code)), F.lit("")))
+    return stripped(F.concat_ws("\n    ", *(_shown(c) for c in (path, kind, name, parent, start, end, none, none, code))))
 
 
-def chunk_id(path: Column, kind: Column, name: Column, parent: Column, start: Column, end: Column, code: Column, prefix: str = "primary") -> Column:
-    return content_id(prefix, id_payload(path, kind, name, parent, start, end, code))
+def chunk_id(path: Column, kind: Column, name: Column, parent: Column, start: Column, end: Column, code: Column, prefix: str = "primary", stripped: Callable[[Column], Column] = strip) -> Column:
+    return content_id(prefix, id_payload(path, kind, name, parent, start, end, code, stripped))
 
 
 def full_id(*fields: Column) -> Column:

@@ -19,6 +19,21 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 
 
+#: Unicode's spaces (Zs), without line ends and tabs; and the blanks of ASCII but the vertical tab.
+SPACES = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+ASCII_BLANKS = " \t\n\f\r"
+
+
+def trim_spaces(c: Column | str) -> Column:
+    """As SQL's ``trim``: spaces alone off both ends."""
+    return F.trim(_col(c), F.lit(SPACES))
+
+
+def rtrim_blanks(c: Column | str) -> Column:
+    """As RE2 takes ``[\\s]+$`` off: blanks of ASCII off the right end."""
+    return F.rtrim(_col(c), F.lit(ASCII_BLANKS))
+
+
 def split_newlines(c: Column | str) -> Column:
     """As ``str.split('\\n')``: a final newline leaves an empty last line."""
     return F.split(_col(c), "\n", -1)
