@@ -28,6 +28,31 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (5, 10),
     gain = F.greatest("relevance", F.lit(0)) / F.log2(F.col("i") + 2.0)
     ideal = ranked.groupBy("qid").agg(*(F.sum(F.when(F.col("i") < c, gain).otherwise(0.0)).alias(f"idcg_{c}") for c in cuts), F.count_if(F.col("relevance") >= relevant).alias("n_rel"), F.count_if(F.col("relevance") >= ap_relevant).alias("n_ap"))
     judged = run.join(q, ["qid", "docno"], "left").withColumn("rel", F.greatest(F.coalesce("relevance", F.lit(0)), F.lit(0)))
+    return _scores(run, judged, ideal, cuts, relevant, ap_relevant, recall_at)
+
+
+def per_query_by_class(run: DataFrame, items: DataFrame, topics: DataFrame, cuts: tuple[int, ...] = (5, 10), relevant: int = 1, ap_relevant: int = 2, recall_at: int = 10) -> DataFrame:
+    """``per_query`` where a topic's relevant documents, of relevance 1, are those of its class: ``items(docno, label)`` and ``topics(qid, label)``.
+
+    Judgements are counted by class and looked up for ranked documents, not listed: there is one for each topic and member of its class.
+    """
+    run = written(run, "run")
+    asked = topics.join(items.where("label is not null").groupBy("label").agg(F.count("*").alias("n")), "label")
+    asked = written(asked.select("qid", F.col("label").alias("own"), "n"), "asked")
+    gains = F.transform(F.sequence(F.lit(0), F.lit(max(cuts) - 1)), lambda i: F.when(i < F.col("n"), 1.0 / F.log2(i + 2.0)).otherwise(0.0))
+    upto = {c: F.aggregate(F.slice(gains, 1, c), F.lit(0.0), lambda s, x: s + x) for c in cuts}
+
+    def counted(least: int) -> Column:
+        return F.sum("n") if least <= 1 else F.lit(0)
+
+    # a topic of several rows has the documents of each of their classes
+    ideal = asked.groupBy("qid").agg(F.sum("n").alias("n"), counted(relevant).alias("n_rel"), counted(ap_relevant).alias("n_ap")).select("qid", "n_rel", "n_ap", *(g.alias(f"idcg_{c}") for c, g in upto.items()))
+    judged = run.join(asked.select("qid", "own"), "qid").join(items.select("docno", "label"), "docno").withColumn("rel", F.coalesce((F.col("label") == F.col("own")).cast("int"), F.lit(0)))
+    return _scores(run, judged, ideal, cuts, relevant, ap_relevant, recall_at)
+
+
+def _scores(run: DataFrame, judged: DataFrame, ideal: DataFrame, cuts: tuple[int, ...], relevant: int, ap_relevant: int, recall_at: int) -> DataFrame:
+    """Metrics of ranked documents with their relevance (``rel``) against the ideal of each topic."""
     upto = Window.partitionBy("system", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     judged = judged.withColumn("seen", F.sum((F.col("rel") >= ap_relevant).cast("int")).over(upto))
     dcg = F.col("rel") / F.log2(F.col("rank") + 2.0)
